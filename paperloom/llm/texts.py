@@ -1,0 +1,45 @@
+"""The texts of the tables that several operators read."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from paperloom.llm import unify
+from paperloom.session import settle, table
+
+
+def block_text() -> F.Column:
+    """The text of a block: its runs joined in order; null where it has no runs."""
+    return F.when(F.col("elements").isNotNull(), F.array_join(F.transform("elements", lambda e: e["elem_text"]), "", ""))
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, bool]]:
+    comments = table(spark, sf_dir, "podcast_comments").select(F.lit("podcast_comments").alias("src_table"), F.col("comment_id").alias("rec_id"), F.col("body").alias("text"))
+    blocks = table(spark, sf_dir, "feishu_blocks").select(F.lit("feishu_blocks").alias("src_table"), F.col("block_no").alias("rec_id"), block_text().alias("text"))
+    pages = table(spark, sf_dir, "reader_pages").select(F.lit("reader_pages").alias("src_table"), F.col("page_id").alias("rec_id"), F.col("reader_html").alias("text"))
+    return [(comments.unionByName(blocks), False), (pages, True)]
+
+
+def fingerprinted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [
+        df.withColumn("_d", unify.fingerprints(markup)("text")).select("src_table", "rec_id", F.col("_d.form").alias("form"), F.col("_d.raw").alias("raw"))
+        for df, markup in _texts(spark, sf_dir)
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unify.look_alike_pairs(settle(fingerprinted(spark, sf_dir), "p2"))
+
+
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unify.look_alike_classes(settle(fingerprinted(spark, sf_dir), "p2"))
+
+
+def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [df.select("src_table", "rec_id", unify.unified(markup)("text").alias("text")) for df, markup in _texts(spark, sf_dir)]
+    return reduce(DataFrame.unionByName, parts)
+
