@@ -1,4 +1,4 @@
-"""The texts of the tables that several operators read."""
+"""The queries: operators applied to the whole tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import unify
+from paperloom.llm import residue, unify
 from paperloom.session import settle, table
 
 
@@ -43,3 +43,33 @@ def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [df.select("src_table", "rec_id", unify.unified(markup)("text").alias("text")) for df, markup in _texts(spark, sf_dir)]
     return reduce(DataFrame.unionByName, parts)
 
+
+
+def _records(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Pages and notes with their title and host."""
+    pages = table(spark, sf_dir, "reader_pages")
+    notes = table(spark, sf_dir, "clip_results")
+    source = F.regexp_extract("markdown", r"(?m)^source: \"?https?://([^/\"\s]+)", 1)
+    return [
+        pages.select(F.lit("reader_pages").alias("src_table"), F.col("page_id").alias("rec_id"), F.lit("page").alias("kind"), F.col("site").alias("host"), "title", F.col("reader_html").alias("text")),
+        notes.select(F.lit("clip_results").alias("src_table"), F.col("clip_id").alias("rec_id"), F.lit("note").alias("kind"), source.alias("host"), F.col("note_name").alias("title"), F.col("markdown").alias("text")),
+    ]
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = _records(spark, sf_dir)
+    return residue.cases(reduce(DataFrame.unionByName, records), residue.learn(records))
+
+
+def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records with real content, with their texts."""
+    records = _records(spark, sf_dir)
+    rows = reduce(DataFrame.unionByName, records)
+    bad = residue.cases(rows, residue.learn(records))
+    return rows.where(F.col("text").isNotNull()).join(bad, ["src_table", "rec_id"], "left_anti").select("src_table", "rec_id", "title", "text")
+
+
+def p3_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of the classifier with the weak labels on unseen hosts."""
+    found = residue.validate(_records(spark, sf_dir))
+    return spark.createDataFrame(sorted(found.items()), "measure string, value double")

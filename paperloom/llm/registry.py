@@ -6,11 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import texts
+from paperloom.llm import queries as q
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": texts.p2_found, "p2_classes": texts.p2_classes, "p2_unified": texts.p2_unified}
+    return {
+        "p2_found": q.p2_found,
+        "p2_classes": q.p2_classes,
+        "p2_unified": q.p2_unified,
+        "p3_found": q.p3_found,
+        "p3_clean": q.p3_clean,
+        "p3_validation": q.p3_validation,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -94,7 +94,7 @@ def test_empty_table(spark):
 
 
 def test_queries(spark, tiny):
-    from paperloom.llm import texts
+    from paperloom.llm import queries as texts
 
     rows = texts.p2_found(spark, tiny)
     assert rows.columns == ["src_table", "rec_a", "rec_b"] and rows.count() > 0
