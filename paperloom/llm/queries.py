@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import residue, unify
+from paperloom.llm import residue, unify, wrappers
 from paperloom.session import settle, table
 
 
@@ -73,3 +73,13 @@ def p3_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agreement of the classifier with the weak labels on unseen hosts."""
     found = residue.validate(_records(spark, sf_dir))
     return spark.createDataFrame(sorted(found.items()), "measure string, value double")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_body(table(spark, sf_dir, "reader_pages"), residue.learn(_records(spark, sf_dir)))
+
+
+def p5_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wrapper of each host, as a union-free regular expression."""
+    read = settle(wrappers.read_pages(table(spark, sf_dir, "reader_pages"), residue.fit([], [])), "pages")
+    return wrappers.expressions(read)
