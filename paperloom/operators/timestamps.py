@@ -148,7 +148,7 @@ def java_zones() -> frozenset[str] | None:
 
 def fields(text: Column) -> Column:
     """The cascade: the row of fields as text, null where no pattern fits."""
-    plain = F.translate(text, "０１２３４５６７８９：／．，－ 　    ", "0123456789:/.,-" + " " * 6)
+    plain = F.translate(text, "０１２３４５６７８９：／．，－\u3000\u00a0\u2009\u202f\u2007\u2002", "0123456789:/.,-" + " " * 6)
     plain = F.trim(plain)
     row: Column = F.lit(None).cast("string")
     for p in reversed(CASCADE):
