@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import residue, unify, wrappers
+from paperloom.llm import pii, residue, unify, wrappers
 from paperloom.session import settle, table
 
 
@@ -83,3 +83,32 @@ def p5_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wrapper of each host, as a union-free regular expression."""
     read = settle(wrappers.read_pages(table(spark, sf_dir, "reader_pages"), residue.fit([], [])), "pages")
     return wrappers.expressions(read)
+
+
+#: The key of the pseudonyms; a cluster sets its own.
+KEY_SETTING, DEFAULT_KEY = "spark.paperloom.pii.key", "change this key"
+
+
+def _comment_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text of a comment with its slot: body, user, reply_0, reply_1, ..."""
+    entry = lambda slot, text: F.struct(slot.alias("slot"), text.alias("text"))
+    replies = F.transform(F.coalesce("reply_previews", F.array()), lambda r, i: entry(F.concat(F.lit("reply_"), i.cast("string")), r["reply_text"]))
+    slots = F.concat(F.array(entry(F.lit("body"), F.col("body")), entry(F.lit("user"), F.col("user_name"))), replies)
+    rows = table(spark, sf_dir, "podcast_comments").select("comment_id", F.explode(slots).alias("s"))
+    return rows.select("comment_id", "s.slot", "s.text").where("text is not null and text <> ''")
+
+
+def _replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = pii.learn_names(table(spark, sf_dir, "podcast_comments").select("user_name"), table(spark, sf_dir, "name_parts"))
+    key = (spark.conf.get(KEY_SETTING, None) or DEFAULT_KEY).encode()
+    return pii.replace(_comment_texts(spark, sf_dir), names, key)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = _replaced(spark, sf_dir).where(F.size("kinds") > 0)
+    return kinds.select("comment_id", "slot", F.explode("kinds").alias("pii_kind")).distinct()
+
+
+def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of comments with placeholders."""
+    return _replaced(spark, sf_dir).select("comment_id", "slot", "clean", "kinds").dropDuplicates(["comment_id", "slot", "clean"])

@@ -17,6 +17,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": q.p3_found,
         "p3_clean": q.p3_clean,
         "p3_validation": q.p3_validation,
+        "p4_found": q.p4_found,
+        "p4_clean": q.p4_clean,
         "p5_found": q.p5_found,
         "p5_wrappers": q.p5_wrappers,
     }

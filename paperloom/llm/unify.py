@@ -38,10 +38,10 @@ LOOK_ALIKES = dict(
     )
 )
 # Drawn as a hyphen, as a line end, as nothing.
-HYPHENS = "‐‑"
-LINE_ENDS = {"\r\n": "\n", "\r": "\n", "\x85": "\n", " ": "\n", " ": "\n"}
-INVISIBLE = "­؜᠎​‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿"
-ZWNJ, ZWJ = "‌", "‍"
+HYPHENS = "\u2010\u2011"
+LINE_ENDS = {"\r\n": "\n", "\r": "\n", "\x85": "\n", "\u2028": "\n", "\u2029": "\n"}
+INVISIBLE = "\u00ad\u061c\u180e\u200b\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufeff"
+ZWNJ, ZWJ = "\u200c", "\u200d"
 MARKUP = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|</?[A-Za-z!](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S | re.I)
 
 
@@ -98,7 +98,7 @@ def _pictorial(ch: str) -> bool:
 
 def _shaped(ch: str) -> bool:
     """In a script in which joiners change how letters are drawn."""
-    return "֐" <= ch <= "෿" or "က" <= ch <= "႟" or "ក" <= ch <= "᢯"
+    return "\u0590" <= ch <= "\u0dff" or "\u1000" <= ch <= "\u109f" or "\u1780" <= ch <= "\u18af"
 
 
 @lru_cache(100_000)
