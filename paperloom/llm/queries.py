@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import pii, residue, unify, wrappers
+from paperloom.llm import pii, quality, residue, unify, wrappers
 from paperloom.session import settle, table
 
 
@@ -112,3 +112,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts of comments with placeholders."""
     return _replaced(spark, sf_dir).select("comment_id", "slot", "clean", "kinds").dropDuplicates(["comment_id", "slot", "clean"])
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = quality.measured(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "common_words"))
+    return kinds.where(~F.col("text_kind").isin("prose", "empty")).select("doc_id")
+
+
+def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of each document."""
+    rows = quality.measured(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", "text"), table(spark, sf_dir, "common_words"))
+    return rows.drop("text")

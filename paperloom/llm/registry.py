@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_clean": q.p4_clean,
         "p5_found": q.p5_found,
         "p5_wrappers": q.p5_wrappers,
+        "p8_found": q.p8_found,
+        "p8_stats": q.p8_stats,
     }
 
 
