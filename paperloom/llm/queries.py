@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import pii, quality, residue, unify, wrappers
+from paperloom.llm import mixing, packing, pii, quality, residue, tokens, unify, wrappers
 from paperloom.session import settle, table
 
 
@@ -123,3 +123,25 @@ def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statistics of each document."""
     rows = quality.measured(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", "text"), table(spark, sf_dir, "common_words"))
     return rows.drop("text")
+
+
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text or piece of one with its container of each kind."""
+    sized = tokens.counted(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return packing.packed(sized, table(spark, sf_dir, "container_sizes"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.filled(p6_packed(spark, sf_dir), table(spark, sf_dir, "container_sizes"))
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of the mixture, a row for each time one is used."""
+    sized = tokens.counted(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return mixing.mixed(sized, table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares reached."""
+    return mixing.shares(p7_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))

@@ -21,6 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_clean": q.p4_clean,
         "p5_found": q.p5_found,
         "p5_wrappers": q.p5_wrappers,
+        "p6_packed": q.p6_packed,
+        "p6_fill": q.p6_fill,
+        "p7_mixture": q.p7_mixture,
+        "p7_shares": q.p7_shares,
         "p8_found": q.p8_found,
         "p8_stats": q.p8_stats,
     }
