@@ -66,7 +66,7 @@ def _capital(w: Column, rest_lower: bool = True) -> Column:
     return F.concat(F.upper(w.substr(1, 1)), F.lower(tail) if rest_lower else tail)
 
 
-register("capitalize", lambda v, args: each(v, _capital))
+register("capitalize", lambda v, args: each(v, lambda w: _capital(w)))
 register("pascal", _texts(lambda s: F.array_join(F.transform(F.split(s, f"(?:{BLANK}|[_-])+(?=.)"), lambda w: _capital(w, False)), "")))
 
 
@@ -112,7 +112,8 @@ def replace(v: Val, args: Sequence) -> Val:
             if "g" in m[2]:
                 s = F.regexp_replace(s, pattern, _java_replacement(_escapes(new)))
             else:
-                # only the first match
+                # only the first match; the text before it is a group of its own
+                new = re.sub(r"\$(\d)", lambda d: f"${int(d[1]) + 1}", new)
                 s = F.regexp_replace(s, f"(?s)^((?-s:{'(?' + flags + ')' if flags else ''}(?:(?!{m[1]})[\\s\\S])*+))(?:{m[1]})", "$1" + _java_replacement(_escapes(new)))
             continue
         search, new = _escapes(search), _escapes(new)
@@ -387,7 +388,7 @@ def split(v: Val, args: Sequence) -> Val:
 
 @register("join")
 def join(v: Val, args: Sequence) -> Val:
-    sep = (_arg(args, 0) if _arg(args, 0) else ",").replace("\\n", "\n")
+    sep = _arg(args, 0, ",").replace("\\n", "\n")
     return Val(over_list(v, lambda a: F.array_join(a, sep, ""), lambda s: F.when(s.isin("undefined", "null"), "").otherwise(s)))
 
 
