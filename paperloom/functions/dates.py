@@ -8,14 +8,14 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from paperloom.functions.values import leading_number
+from paperloom.functions.values import leading_number, let
 
 # Tokens of date formats, longest first, with the pattern that writes each.
 TOKENS = {
     "YYYY": "yyyy", "MMMM": "MMMM", "dddd": "EEEE", "MMM": "MMM", "ddd": "EEE", "SSS": "SSS", "YY": "yy", "MM": "MM", "DD": "dd",
     "HH": "HH", "hh": "hh", "mm": "mm", "ss": "ss", "ZZ": "xx", "M": "M", "D": "d", "H": "H", "h": "h", "m": "m", "s": "s", "Z": "xxx", "Q": "q",
 }
-_TOKEN = re.compile(r"\[([^\]]*)\]|Do|WW|W|ww|w|dd|d|A|a|X|x|kk|k|" + "|".join(TOKENS))
+_TOKEN = re.compile(r"\[([^\]]*)\]|Do|" + "|".join(TOKENS) + "|WW|W|ww|w|dd|d|A|a|X|x|kk|k")
 
 
 def parsed(s: Column, pattern: str | None = None) -> Column:
@@ -71,9 +71,8 @@ def shown(t: Column, pattern: str) -> Column:
 def formatted(s: Column, pattern: str | None, read_as: str | None = None) -> Column:
     """``date``: a text that says no time stays as it is; without a format it is an invalid date."""
     t = F.when(s == "now", F.current_timestamp()).otherwise(parsed(s, read_as))
-    if not pattern:
-        return F.when(s == "", s).otherwise(F.coalesce(shown(t, "YYYY-MM-DD"), F.lit("Invalid Date")))
-    return F.when(s == "", s).otherwise(F.coalesce(shown(t, pattern), s))
+    as_text = let(t, lambda x: shown(x, pattern or "YYYY-MM-DD"))
+    return F.when(s == "", s).otherwise(F.coalesce(as_text, s if pattern else F.lit("Invalid Date")))
 
 
 def moved(s: Column, change: str) -> Column:
@@ -98,7 +97,11 @@ def duration(s: Column, pattern: str | None) -> Column:
     iso = r"^P(?:(\d+)Y)?(?:(\d+)M)?(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?)?$"
     weights = (31_536_000, 2_592_000, 86_400, 3600, 60, 1)
     parts = [F.coalesce(F.nullif(F.regexp_extract(plain, iso, i + 1), F.lit("")).try_cast("bigint"), F.lit(0)) * w for i, w in enumerate(weights)]
-    total = F.when(plain.rlike(iso), reduce(lambda a, b: a + b, parts)).otherwise(F.floor(leading_number(plain)))
+    whole = F.when(plain.rlike(iso), reduce(lambda a, b: a + b, parts)).otherwise(F.floor(leading_number(plain)))
+    return F.when(s == "", s).otherwise(F.coalesce(let(whole, lambda total: _clock(total, pattern)), s))
+
+
+def _clock(total: Column, pattern: str | None) -> Column:
     h, mi, sec = F.floor(total / 3600), F.floor(total / 60) % 60, total % 60
     two = lambda x: F.when(x < 10, F.concat(F.lit("0"), x.cast("string"))).otherwise(x.cast("string"))
     values = {"HH": two(h), "H": h.cast("string"), "mm": two(mi), "m": mi.cast("string"), "ss": two(sec), "s": sec.cast("string")}
@@ -106,5 +109,4 @@ def duration(s: Column, pattern: str | None) -> Column:
     def write(p: str) -> Column:
         return F.concat(*(values[x] if x in values else F.lit(x) for x in re.split(r"(HH|H|mm|m|ss|s)", p) if x))
 
-    shown_ = write(pattern) if pattern else F.when(total >= 3600, write("HH:mm:ss")).otherwise(write("mm:ss"))
-    return F.when(s == "", s).otherwise(F.coalesce(shown_, s))
+    return write(pattern) if pattern else F.when(total >= 3600, write("HH:mm:ss")).otherwise(write("mm:ss"))

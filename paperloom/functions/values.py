@@ -36,8 +36,17 @@ def lit(value) -> Val:
     return Val(F.lit(str(value)), "text")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def number_text(x: Column) -> Column:
     """A number as scripts write it: 3, 2.5, 1e-7, Infinity."""
+    return let(x, _number_text)
+
+
+def _number_text(x: Column) -> Column:
     plain = F.when((x == F.floor(x)) & (F.abs(x) < 1e15), F.floor(x).cast("bigint").cast("string"))
     short = F.regexp_replace(F.regexp_replace(x.cast("string"), r"\.0E", "E"), r"E(-?)", "e$1")
     small = F.when((F.abs(x) >= 1e-6) & (F.abs(x) < 1e-3), F.regexp_replace(F.format_string("%.15f", x), "0+$", ""))

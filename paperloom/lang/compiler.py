@@ -96,9 +96,9 @@ class Compiler:
         if self.prompt(expr) is not None:
             return text(self.value(expr, scope, prompt=True))
         v = self.value(expr, scope)
-        if v.kind == "list":
-            # a single element stands alone, none is nothing
-            return F.when(F.size(v.col) == 1, F.coalesce(F.get(v.col, 0), F.lit(""))).otherwise(text(v))
+        if v.kind == "list" and not isinstance(expr, p.Filter):
+            # a single element that was selected stands alone, none is nothing
+            return F.when(F.size(v.col) == 1, F.coalesce(F.get(v.col, 0), F.lit(""))).when(F.size(v.col) == 0, "").otherwise(text(v))
         return text(v)
 
     def condition(self, node: p.If, scope: Scope) -> tuple[Column, Column]:

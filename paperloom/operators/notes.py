@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Mapping, Sequence
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType
 
 from paperloom.functions import dates, filters
 from paperloom.functions.urls import domain, without_text_fragment
@@ -49,11 +52,6 @@ def variables(facts: Mapping[str, Column], at: datetime, words: Column | None =
 def schema_variables(schemas: str | Column) -> Column:
     """The variables of a page's JSON-LD as a map: ``schema:@Type:key`` to its
     text, lists and objects as JSON, members of objects and lists by path."""
-    import json
-
-    import pandas as pd
-    from pyspark.sql.types import MapType, StringType
-
     def walk(data, found: dict, prefix: str = "") -> None:
         dumps = lambda x: json.dumps(x, ensure_ascii=False, separators=(",", ":"))
         if isinstance(data, list):

@@ -181,7 +181,9 @@ def with_utc_ms(
         prefix += "_"
     name = lambda s: f"{prefix}{s}"
     c = lambda s: F.col(name(s))
-    known, null = sorted(zone_names() & (java_zones() or zone_names())), F.lit(None).cast("bigint")
+    zones = ", ".join(f"'{z}'" for z in sorted(zone_names() & (java_zones() or zone_names())))
+    known = lambda column: F.expr(f"`{column}` IN ({zones})")
+    null = F.lit(None).cast("bigint")
     lookup = lambda pairs: F.from_json(F.lit(json.dumps(pairs)), "map<string,int>")
 
     df = df.withColumn(name("row"), F.split(fields(F.col(f"`{text}`")), r"\|"))
@@ -193,7 +195,7 @@ def with_utc_ms(
             name("kind"): part(0),
             name("half"): F.lower(part(8)),
             name("said"): F.regexp_replace(part(9), r"[\[\]()（）]", ""),
-            name("home"): F.when(F.col(f"`{zone}`").isin(known), F.col(f"`{zone}`")),
+            name("home"): F.when(known(zone), F.col(f"`{zone}`")),
             name("order"): F.col(f"`{order}`"),
         }
     )
@@ -205,7 +207,7 @@ def with_utc_ms(
         F.try_element_at(short, F.concat(F.coalesce(c("home"), F.lit("")), F.lit("|"), F.upper(c("said")))),
         F.try_element_at(short, F.concat(F.lit("|"), F.upper(c("said")))),
     )
-    named = F.when(c("said") == "北京时间", "Asia/Shanghai").when(c("said").isin(known), c("said"))
+    named = F.when(c("said") == "北京时间", "Asia/Shanghai").when(known(name("said")), c("said"))
     df = df.withColumns(
         {
             name("fixed"): F.when(sign != "", F.when(seconds <= 14 * 3600, F.when(sign == "-", -seconds).otherwise(seconds))).when(

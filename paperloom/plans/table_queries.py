@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import urls
-from paperloom.operators import audits, blocks, highlights, notes, records, routing, tables, transcripts, usage
+from paperloom.operators import audits, blocks, highlights, notes, pages, records, routing, tables, transcripts, usage
 from paperloom.operators.routing import Property, Template
 from paperloom.session import table
 
@@ -576,3 +576,184 @@ def lot_bids(spark, d):
 def episode_comments(spark, d):
     c = table(spark, d, "podcast_comments").dropDuplicates(["comment_id"])
     return c.groupBy("episode_id").agg(F.count("*").alias("n_comments"), F.sum(F.greatest("total_reply_count", F.lit(0))).alias("n_replies"))
+
+
+# pages ---------------------------------------------------------------------------
+
+
+@query("SELECT page_id, regexp_extract(full_html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(full_html, '<html lang=\"([a-z-]+)\"', 1) AS language FROM reader_pages WHERE full_html IS NOT NULL AND NOT contains(regexp_extract(full_html, '<title>([^<]*)</title>', 1), '&')")
+def page_facts(spark, d):
+    p = table(spark, d, "reader_pages").where("full_html is not null")
+    f = p.select("page_id", pages.facts(F.col("full_html"), F.col("url")).alias("f")).select("page_id", "f.title", "f.language")
+    return f.where(~F.col("title").contains("&"))
+
+
+@query()
+def page_notes(spark, d):
+    """Pages to notes, from markup to front matter and Markdown."""
+    p = table(spark, d, "reader_pages").where("full_html is not null").withColumn("f", pages.facts(F.col("full_html"), F.col("url")))
+    f = {k: F.col(f"f.{v}") for k, v in {"title": "title", "author": "author", "content": "content", "description": "description", "published": "published", "language": "language", "site": "site"}.items()}
+    t = Template("page", "{{title}}", "# {{title}}\n\n{{content}}", [Property("source", "{{url}}"), Property("words", "{{words}}", "number"), Property("lang", "{{language|upper}}")])
+    return notes.clip(p, t, f | {"url": F.col("url")}, AT, words=F.col("f.words")).select("page_id", "note_name", "full_content")
+
+
+@query()
+def page_cleaned(spark, d):
+    return table(spark, d, "reader_pages").where("full_html is not null").select("page_id", pages.cleaned(F.col("full_html"), F.col("url")).alias("html"))
+
+
+@query("SELECT page_id, CASE WHEN trim(author) <> '' THEN author WHEN trim(description) <> '' THEN description ELSE '' END AS first FROM reader_pages")
+def first_filled(spark, d):
+    return table(spark, d, "reader_pages").select("page_id", pages.first_filled(F.col("author"), F.col("description")).alias("first"))
+
+
+@query("SELECT n_nationkey, '> [!note] ' || n_name || ' [^1]' AS markdown FROM nation")
+def markdown_tidied(spark, d):
+    return table(spark, d, "nation").select("n_nationkey", pages.tidied(F.concat(F.lit("> \\[!note\\] "), F.col("n_name"), F.lit(" \\[^1\\]"))).alias("markdown"))
+
+
+@query("SELECT n_nationkey, 'a ==' || n_name || '== b' AS marked FROM nation")
+def highlights_inline(spark, d):
+    return table(spark, d, "nation").select("n_nationkey", pages.marked(F.concat(F.lit("a "), F.col("n_name"), F.lit(" b")), F.array("n_name")).alias("marked"))
+
+
+@query("SELECT event_id, min(event_id) OVER (PARTITION BY user_id)::VARCHAR || '_tx_' || (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) AS id, CASE WHEN count(*) OVER (PARTITION BY user_id) > 1 THEN 'g' || min(event_id) OVER (PARTITION BY user_id) END AS group_id FROM events")
+def selection_pieces(spark, d):
+    e = table(spark, d, "events").select("event_id", F.col("user_id").alias("selection_id"), F.col("event_id").alias("place"), F.col("event_id").alias("epoch_ms"))
+    return pages.pieces(e).select("event_id", "id", "group_id")
+
+
+@query()
+def expected_units(spark, d):
+    return pages.expected_units(table(spark, d, "feishu_blocks").dropDuplicates(["block_no"]))
+
+
+@query("SELECT n_nationkey, 'see [https://x.test/' || n_nationkey || '](https://x.test/' || n_nationkey || ') there' AS text FROM nation")
+def autolink(spark, d):
+    return table(spark, d, "nation").select("n_nationkey", pages.autolinked(F.concat(F.lit("see https://x.test/"), F.col("n_nationkey"), F.lit(" there"))).alias("text"))
+
+
+@query("SELECT n_nationkey, strftime(to_timestamp(1700000000 + n_nationkey * 86400) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M') AS published FROM nation")
+def article_published(spark, d):
+    return table(spark, d, "nation").select("n_nationkey", pages.published(F.concat(F.lit('<script>var ct = "'), (F.col("n_nationkey") * 86400 + 1700000000).cast("string"), F.lit('";</script>'))).alias("published"))
+
+
+@query()
+def nested_comments(spark, d):
+    c = table(spark, d, "podcast_comments").dropDuplicates(["comment_id"])
+    top = c.select("episode_id", F.col("comment_id").alias("id"), F.lit(None).cast("long").alias("parent"), F.col("comment_id").alias("place"), F.col("user_name").alias("author"), F.col("body").alias("text"))
+    r = c.select("episode_id", "comment_id", F.posexplode("reply_previews").alias("i", "r"))
+    replies = r.select("episode_id", (F.col("comment_id") * 10 + F.col("i")).alias("id"), F.col("comment_id").alias("parent"), F.col("i").cast("long").alias("place"), F.col("r.user_name").alias("author"), F.col("r.reply_text").alias("text"))
+    return pages.nested_comments(top.unionByName(replies), "episode_id", "id", "parent", "place", "author", "text")
+
+
+@query("SELECT n_nationkey, 'x #' || n_name || ' [t](https://x.test/) y' AS text FROM nation WHERE NOT contains(n_name, ' ')")
+def inline_entities(spark, d):
+    text = F.concat(F.lit('x <e type="hashtag" hid="1" title="%23'), F.col("n_name"), F.lit('" /> <e type="web" href="https%3A%2F%2Fx.test%2F" title="t" /> y'))
+    return table(spark, d, "nation").where("not contains(n_name, ' ')").select("n_nationkey", pages.inline_links(text).alias("text"))
+
+
+@query("SELECT n_nationkey, n_name AS name, 'Show' AS show, 3723 AS seconds, '2024-05-06' AS day, n_nationkey AS episode FROM nation")
+def podcast_record(spark, d):
+    s = F.concat(F.lit('{"@type":"PodcastEpisode","name":"Vol. '), F.col("n_nationkey"), F.lit(' x","partOfSeries":{"name":"Show"},"timeRequired":"PT1H2M3S","datePublished":"2024-05-06T01:02:03Z"}'))
+    out = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("name"), records.podcast(s).alias("r"))
+    return out.select("n_nationkey", "name", "r.show", "r.seconds", "r.day", "r.episode")
+
+
+@query()
+def fee_labels(spark, d):
+    text = F.concat(F.lit("停车费"), F.col("p_size").cast("string"), F.lit("元，"), F.when(F.col("p_partkey") % 2 == 0, "拖车费10元").otherwise("保管费5元"))
+    return records.fee_labels(table(spark, d, "part").select(text.alias("t")), "t")
+
+
+@query("SELECT episode_id, comment_id FROM (SELECT DISTINCT ON (comment_id) comment_id, episode_id FROM podcast_comments) WHERE comment_id < 5000010000 ORDER BY comment_id DESC LIMIT 100")
+def keyset_page(spark, d):
+    from paperloom.sources.readers import keyset_page
+
+    c = table(spark, d, "podcast_comments").select("episode_id", "comment_id").distinct()
+    return keyset_page(c, 5000010000, "comment_id", 100)
+
+
+@query("SELECT clip_id, regexp_extract(markdown, '(?m)^source: \"?([^\"\\n]*)\"?$', 1) AS source FROM (SELECT DISTINCT ON (clip_id) * FROM clip_results) WHERE starts_with(markdown, '---' || chr(10)) AND contains(markdown, chr(10) || 'source: \"http')")
+def front_matter_read(spark, d):
+    from paperloom.sources.readers import front_matter
+
+    c = table(spark, d, "clip_results").dropDuplicates(["clip_id"]).where("startswith(markdown, concat('---', char(10))) and contains(markdown, concat(char(10), 'source: \"http'))")
+    return front_matter(c).select("clip_id", F.try_element_at("front", F.lit("source")).alias("source"))
+
+
+@query("SELECT n_nationkey, n_name || ',\"a,\"\"b\"\"\"' AS line FROM nation")
+def csv_lines(spark, d):
+    from paperloom.sources.sinks import csv_line
+
+    return table(spark, d, "nation").select("n_nationkey", csv_line([F.col("n_name"), F.lit('a,"b"')]).alias("line"))
+
+
+@query("SELECT n_nationkey, placeholder FROM (SELECT n_nationkey, n_nationkey % 2 = 0 AS placeholder FROM nation)")
+def placeholder_images(spark, d):
+    src = F.when(F.col("n_nationkey") % 2 == 0, "https://x.test/img/blank.gif?v=1").otherwise("https://x.test/img/a.gif")
+    return table(spark, d, "nation").select("n_nationkey", urls.placeholder_image(src).alias("placeholder"))
+
+
+@query("SELECT n_nationkey, 'https://x.test/a/img.png' AS a, 'https://x.test/img.png' AS b, 'https://y.test/i' AS c FROM nation")
+def absolute_urls(spark, d):
+    base = F.lit("https://x.test/a/page?q=1")
+    return table(spark, d, "nation").select("n_nationkey", urls.absolute(F.lit("img.png"), base).alias("a"), urls.absolute(F.lit("/img.png"), base).alias("b"), urls.absolute(F.lit("//y.test/i"), base).alias("c"))
+
+
+@query("SELECT event_id, coalesce(value, 0.5) AS value, 'x' AS theme FROM events")
+def settings_defaults(spark, d):
+    from paperloom.sources.readers import settings
+
+    return settings(table(spark, d, "events").select("event_id", "value"), {"value": 0.5, "theme": "x"})
+
+
+@query("SELECT ts::DATE AS period, count(*) AS n_events FROM events GROUP BY 1")
+def stream_daily(spark, d):
+    """The daily view kept up to date by a stream, over all there is."""
+    return _streamed(spark, d, lambda e: _views().daily(e, "ts", "40 days"), "complete")
+
+
+@query()
+def stream_sessions(spark, d):
+    return _streamed(spark, d, lambda e: _views().sessions(e, "user_id", "ts"), "complete")
+
+
+@query()
+def stream_played(spark, d):
+    """Seconds played per user: clicks start, views stop."""
+    def view(e):
+        t = e.select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("action"))
+        return _views().played(t, "user_id", "ts", "action", "click", "view")
+
+    return _streamed(spark, d, view, "update")
+
+
+def _views():
+    from paperloom.streaming import views
+
+    return views
+
+
+def _streamed(spark, d, view, mode: str):
+    """A view of the events as a stream of files, run to its end."""
+    import uuid
+
+    from paperloom.session import shared_dir
+
+    schema = table(spark, d, "events").schema
+    stream = view(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d))
+    place = f"{shared_dir(spark)}/paperloom/stream-{uuid.uuid4().hex}"
+    out = f"{place}/out"
+
+    def keep(batch: DataFrame, i: int) -> None:
+        # a batch run again after a failure writes the same folder again
+        batch.write.mode("overwrite").parquet(f"{out}/batch={i:09d}" if mode == "update" else out)
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = spark.read.parquet(out)
+    if mode != "update":
+        return rows
+    key, *values = [c for c in rows.columns if c != "batch"]
+    return rows.groupBy(key).agg(*(F.max_by(c, "batch").alias(c) for c in values))

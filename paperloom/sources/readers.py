@@ -59,7 +59,7 @@ def front_matter(df: DataFrame, markdown: str = "markdown") -> DataFrame:
     """``df`` with ``front`` (a map) and ``body``; lists of tags become one value."""
     front = F.regexp_extract(F.col(markdown), r"^---\r?\n([\s\S]*?)\r?\n---(?:\r?\n|$)", 1)
     lines = F.filter(F.split(front, r"\r?\n(?!\s)"), lambda x: x.contains(":"))
-    value = lambda x: F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(x, r"^[^:]+:\s*", ""), r"\n\s+-\s*", ", ")), "^[\"'](.*)[\"']$|^, ", "$1")
+    value = lambda x: F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(x, r"^[^:]+:[ \t]*", ""), r"\n\s+-\s*", ", ")), "^[\"'](.*)[\"']$|^, ", "$1")
     entries = F.transform(lines, lambda x: F.struct(F.regexp_replace(F.regexp_extract(x, r"^([^:]+):", 1), "^[\"'](.*)[\"']$", "$1").alias("key"), value(x).alias("value")))
     last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["key"] == e["key"]))
     return df.withColumns({"front": F.map_from_entries(last), "body": F.regexp_replace(F.col(markdown), r"^---\r?\n[\s\S]*?\r?\n---(?:\r?\n|$)\s*", "")})
