@@ -35,7 +35,8 @@ STATS = {
 }
 
 _HAN = "㐀-鿿豈-﫿぀-ヿ가-힯"
-WORD = re.compile(rf"[{_HAN}]|[^\W\d_]+(?:['’-][^\W\d_]+)*")
+LETTERS = re.compile(rf"[^\W\d_{_HAN}]+(?:['’-][^\W\d_{_HAN}]+)*")
+NO_LETTER = re.compile(r"[\W_]")
 HAN = re.compile(f"[{_HAN}]")
 END = re.compile(r"[.!?…。！？][\"'”’»）)\]】」]*$")
 SENTENCE = re.compile(r"[.!?…](?=[\"'”’»)\]]*(?:\s|$))|[。！？]")
@@ -52,7 +53,7 @@ VOWEL = re.compile(r"[aeiouyäöüáéíóúàèìòùâêîôûëïœæ]", re.I
 
 
 #: A line of running text beyond doubt: it begins like a sentence, ends one and has no sign of structure.
-PLAIN = re.compile(rf"[A-ZÄÖÜÀÂÉÈÊÎÔÇ\"“„«(（‘'¿¡{_HAN}](?:(?!  )[^|{{}}<>=\t\\#;/·_]){{24,}}[.!?…。！？][\"'”’»）)]*")
+PLAIN = re.compile(rf"[A-ZÄÖÜÀÂÉÈÊÎÔÇ\"“„«(（‘'¿¡{_HAN}][^|{{}}<>=\t\\#;/·_]{{24,}}[.!?…。！？][\"'”’»）)]*")
 #: Separators of items within a line.
 ITEMS = re.compile(r" [·/|•>›] | #|[,、;；] ?")
 
@@ -80,7 +81,7 @@ def _wide(text: str) -> int:
 
 def _delimiters(line: str) -> tuple[int, int, int]:
     """Of bars, of tabs and gaps, of commas and semicolons."""
-    return line.count("|"), len(GAPS.findall(line)), line.count(",") + line.count(";")
+    return line.count("|"), len(GAPS.findall(line)) if "  " in line or "\t" in line else 0, line.count(",") + line.count(";")
 
 
 def _cells(line: str) -> bool:
@@ -98,8 +99,7 @@ def _columns(line: str) -> set[int]:
 def _odd(line: str, words: list[str]) -> bool:
     """Random or broken characters: no line anybody wrote."""
     n = len(line.strip())
-    visible = sum(ch.isalnum() for ch in line)
-    if n >= 6 and visible < 0.35 * n:
+    if n >= 6 and len(line) - len(NO_LETTER.findall(line)) < 0.35 * n:
         return True
     if len(BROKEN.findall(line)) * 12 > n:
         return True
@@ -118,6 +118,8 @@ UNIT = re.compile(r"(.{2,40}?)(?:[\s|>/·,，、-]*\1){2,}", re.S)
 
 def _items(line: str) -> bool:
     """Whether a line is a row of short items rather than a sentence."""
+    if line.count(",") + line.count(" ") + line.count("、") + line.count("；") < 5:
+        return False
     items = [x for x in ITEMS.split(line) if x]
     if len(items) < 6:
         return False
@@ -130,18 +132,18 @@ def _looped(line: str) -> bool:
     return bool(m) and m.end() >= 0.85 * len(line.strip())
 
 
-def line_kinds(lines: list[str]) -> list[str]:
+def line_kinds(lines: list[str], counts: list[tuple[int, int, int]] | None = None) -> list[str]:
     """The kind of each line that isn't blank: text, head, or one of KINDS."""
     seen = Counter(line.strip() for line in lines)
     repeated = {line for line, n in seen.items() if (n >= 4 and n >= 0.25 * len(lines) or n >= 3 and n >= 0.6 * len(lines)) and any(ch.isalnum() for ch in line)}
-    counts = [_delimiters(line) for line in lines]
+    counts = counts or [_delimiters(line) for line in lines]
     kinds = []
     for i, line in enumerate(lines):
         s = line.strip()
-        if s not in repeated and PLAIN.fullmatch(s) and not _items(s):
+        if s not in repeated and "  " not in s and PLAIN.fullmatch(s) and not _items(s):
             kinds.append("text")
             continue
-        words = WORD.findall(s)
+        words = LETTERS.findall(s)
         ends, wide = bool(END.search(s)), _wide(s)
         near = [j for j in (i - 1, i + 1) if 0 <= j < len(lines)]
         aligned = lambda d: any(counts[i][d] == counts[j][d] for j in near)
@@ -165,7 +167,7 @@ def line_kinds(lines: list[str]) -> list[str]:
         elif s[0] in "{[" and re.search(r"[\"'][^\"']*[\"']\s*:", s) or CODE_WORD.match(s) and not ends or CODE_END.search(s) and len(CODE_CHARS.findall(s)) >= 2:
             kind = "code"
         elif len(CODE_CHARS.findall(s, mark.end() - 1 if (mark := MARKER.match(s)) else 0)) > 0.12 * len(s) and len(s) >= 12 and any(ch.isalnum() for ch in s) and not ends:
-            kind = "code" if sum(ch.isalnum() for ch in s) >= 0.4 * len(s) else "junk"
+            kind = "code" if len(s) - len(NO_LETTER.findall(s)) >= 0.4 * len(s) else "junk"
         elif _odd(s, words) or _looped(s):
             kind = "junk"
         elif _items(s):
@@ -196,19 +198,20 @@ def measure(text: str | None, common: Mapping[str, frozenset]) -> tuple:
     if text is None or not text.strip():
         return (None,) * (len(STATS) - 1) + ("empty",)
     lines = [line for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n") if line.strip()]
-    words = WORD.findall(text)
+    words = LETTERS.findall(text)
+    han = HAN.findall(text) if not text.isascii() else []
+    n_words = len(words) + len(han)
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     _, letters, digits, blanks = np.bincount(_classes()[codes], minlength=4).tolist()
     n = len(codes) - blanks
-    kinds = line_kinds(lines)
     counts = [_delimiters(line) for line in lines]
+    kinds = line_kinds(lines, counts)
     equal = sum(x[0] == y[0] > 0 or x[1] == y[1] > 0 or x[2] == y[2] > 0 for x, y in zip(counts, counts[1:]))
     indents = [len(line) - len(line.lstrip(" ")) for line in lines]
     lengths = np.array([len(line) for line in lines], dtype=float)
-    low = Counter(map(str.lower, words))
-    joined = "".join(HAN.findall(text)) if not text.isascii() else ""
+    low, joined = Counter(map(str.lower, words)), "".join(han)
     shares = [
-        (sum(joined.count(t) * len(t) for t in terms) if HAN.match(next(iter(terms), "")) else sum(low[t] for t in terms)) / max(1, len(words))
+        (sum(joined.count(t) * len(t) for t in terms) if HAN.match(next(iter(terms), "")) else sum(low[t] for t in terms)) / max(1, n_words)
         for terms in common.values()
     ]
     size: Counter = Counter()
@@ -223,18 +226,18 @@ def measure(text: str | None, common: Mapping[str, frozenset]) -> tuple:
     largest = max(KINDS, key=lambda k: size[k])
     # a sentence before a list or table doesn't make prose
     mainly = rest > prose or (odd_lines >= 3 and sentences <= 1 and len(texts) <= 2 and odd_lines >= 2 * len(texts))
-    if not mainly and unwritten(words, shares):
+    if not mainly and unwritten(n_words, shares):
         mainly, largest = True, "junk"
     return (
-        len(words), sum(map(len, words)) / max(1, len(words)), (n - letters - digits) / n, digits / n, len(lines), sum(bool(END.search(x.strip())) for x in lines) / len(lines),
+        n_words, (len("".join(words)) + len(han)) / max(1, n_words), (n - letters - digits) / n, digits / n, len(lines), sum(bool(END.search(x.strip())) for x in lines) / len(lines),
         max(shares, default=0.0), equal / max(1, len(lines) - 1), sum(bool(MARKER.match(x)) for x in lines) / len(lines), sum(i > 0 and i % 2 == 0 for i in indents) / len(lines),
         _autocorrelation(lengths), 1 - len(set(lines)) / len(lines), sentences, prose / max(1, prose + rest), largest if mainly and rest + prose else "prose",
     )
 
 
-def unwritten(words: list[str], shares: list[float]) -> bool:
+def unwritten(n_words: int, shares: list[float]) -> bool:
     """Text without the words every text has: many words, hardly a common one."""
-    return len(words) >= 25 and max(shares, default=1.0) < 0.02
+    return n_words >= 25 and max(shares, default=1.0) < 0.02
 
 
 def measured(df: DataFrame, common: DataFrame, text: str = "text") -> DataFrame:
