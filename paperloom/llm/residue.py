@@ -61,8 +61,8 @@ STATUS = re.compile(
 )
 # Demands for scripts.
 SCRIPTS = re.compile(
-    r"(?:javascript|\bjs\b|scripts?\b|skripte?\b|脚本).{0,30}(?:enable|turn on|switched off|blocked|needs?|required?|disabled|activ|aktiv|blockiert|bloqu|désactiv|unterstützt|开启|启用|不支持|未启用|运行)"
-    r"|(?:enable|turn on|needs?|requires?|does not run|activate|aktivieren|activer|activez|开启|启用|打开|不支持|未启用|需要运行|运行).{0,12}(?:javascript|\bjs\b|scripts?\b|skripte?\b|脚本)",
+    r"(?:javascript|\bjs\b|scripts?\b|skripte?\b|脚本).{0,30}(?:enable|turn on|switched off|blocked|needs?|required?|disabled|activ|aktiv|blockiert|bloqu|désactiv|unterstützt|abgeschaltet|ausgeschaltet|benötigt|erforderlich|nécessaire|requis|开启|启用|不支持|未启用|运行)"
+    r"|(?:enable|turn on|needs?|requires?|does not run|activate|aktivieren|activer|activez|braucht|benötigt|erfordert|keine|nécessite|requiert|besoin de|pas (?:de|les)|开启|启用|打开|不支持|未启用|需要运行|运行).{0,12}(?:javascript|\bjs\b|scripts?\b|skripte?\b|脚本)",
     re.I,
 )
 # Words of the common filler text, and phrases of filler.
@@ -73,6 +73,8 @@ FILLER_PHRASE = re.compile(r"(?:(.{2,24}?)[\s.,;。，]{0,2})(?:\1[\s.,;。，]{
 SCRIPT_PHRASES = (
     "Please enable JavaScript to view this page.", "This app needs JavaScript.", "JavaScript is switched off in your browser.",
     "Your browser does not run scripts.", "Bitte aktivieren Sie JavaScript, um die Seite zu sehen.", "Skripte sind blockiert.",
+    "Diese Anwendung braucht JavaScript.", "JavaScript ist abgeschaltet.", "Ihr Browser führt keine Skripte aus.", "Diese Seite benötigt JavaScript, damit der Text geladen werden kann.",
+    "Cette application nécessite JavaScript.", "JavaScript est désactivé dans votre navigateur.", "Votre navigateur n'exécute pas les scripts.", "Cette page a besoin de JavaScript pour être affichée.",
     "Veuillez activer JavaScript pour lire la suite.", "Les scripts sont bloqués.", "请开启 JavaScript 后继续浏览。", "当前浏览器未启用脚本。", "您的浏览器不支持 JS。",
 )
 FILLER_PHRASES = ("Lorem ipsum dolor sit amet.", "Text goes here. Text goes here.", "Blah blah. Blah blah.", "测试测试测试测试", "占位文本占位文本占位文本", "Blindtext Blindtext Blindtext")
@@ -99,7 +101,7 @@ def _plain(text: str) -> str:
 
 def _relation(text: str, title: str) -> int:
     """``title`` comes without case and accents."""
-    if not title or len(text) < len(title):
+    if not title or 2 * len(text) < len(title):  # plain text may be longer: ß is ss
         return 0
     text = _plain(text) if len(text) <= 4 * len(title) + 40 else ""
     return 2 if text == title else int(len(title) > 5 and title in text)
