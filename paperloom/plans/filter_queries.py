@@ -50,7 +50,7 @@ made("f_replace_regex", "part", "p_partkey", '{{type|replace:"/[AEIOU]+/g":"_","
 made("f_safe_name", "reader_pages", "page_id", "{{v|safe_name}}", {"v": "concat('.', title, ': a/b? [x]')"}, r"""regexp_replace(regexp_replace('.' || title || ': a/b? [x]', '[#|\^\[\]<>:"/\\?*\x00-\x1F]', '', 'g'), '^\.', '_')""")
 made("f_decode_uri", "nation", "n_nationkey", "{{a|decode_uri}} {{b|decode_uri}}", {"a": "concat('a%20b+', n_name)", "b": "concat('100%', n_name)"}, "'a b+' || n_name || ' 100%' || n_name")
 made("f_unescape", "nation", "n_nationkey", "{{v|unescape}}", {"v": "concat(n_name, '\\\\\"q\\\\\"', '\\\\n', 'x')"}, "n_name || '\"q\"' || chr(10) || 'x'")
-made("f_blockquote", "documents", "doc_id", "{{v|blockquote}}", {"v": "text"}, "list_aggregate(list_transform(string_split(text, chr(10)), lambda x: '> ' || x), 'string_agg', chr(10))", where="lang = 'en' AND substr(text, 1, 1) NOT IN ('[', '{')")
+made("f_blockquote", "documents", "doc_id", "{{v|blockquote}}", {"v": "text"}, "list_aggregate(list_transform(string_split(text, chr(10)), lambda x: '> ' || x), 'string_agg', chr(10))")
 made("f_callout", "part", "p_partkey", '{{name|callout:("tip","About",true)}}', PART, "'> [!tip]- About' || chr(10) || '> ' || p_name")
 made("f_footnote", "part", "p_partkey", '{{words|split:" "|footnote}}', PART, f"list_aggregate(list_transform({WORDS}, lambda x, i: '[^' || i || ']: ' || x), 'string_agg', chr(10) || chr(10))")
 made("f_fragment_link", "nation", "n_nationkey", '{{v|fragment_link|first}}', {"v": "concat(n_name, ' is a nation')", "url": "'https://x.test/p'"}, "n_name || ' is a nation [link](https://x.test/p#:~:text=' || replace(n_name, ' ', '%20') || '%20is%20a%20nation)'")

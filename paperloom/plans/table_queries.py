@@ -115,11 +115,10 @@ def frontmatter(spark, d):
     return table(spark, d, "reader_pages").select("page_id", notes.frontmatter(v).alias("frontmatter"))
 
 
-@query("SELECT page_id, title || chr(10) || '---' || chr(10) || 'site: \"' || site || '\"' || chr(10) || '---' || chr(10) || '# ' || title AS note FROM reader_pages WHERE NOT regexp_matches(title, '[#|^\\[\\]<>:\"/\\\\?*.]')")
+@query("SELECT page_id, substr(regexp_replace(regexp_replace(regexp_replace(title, '[#|\\^\\[\\]<>:\"/\\\\?*\\x00-\\x1F]', '', 'g'), '[\\s.]+$', ''), '^\\.', '_'), 1, 245) || chr(10) || '---' || chr(10) || 'site: \"' || site || '\"' || chr(10) || '---' || chr(10) || '# ' || trim(title) AS note FROM reader_pages")
 def clip_note(spark, d):
     t = Template("t", "{{title}}", "# {{title}}", [Property("site", "{{site}}")])
-    pages = table(spark, d, "reader_pages").where(~F.col("title").rlike(r'[#|^\[\]<>:"/\\?*.]'))
-    out = notes.clip(pages, t, {k: F.col(k) for k in ("title", "site", "url")}, AT)
+    out = notes.clip(table(spark, d, "reader_pages"), t, {k: F.col(k) for k in ("title", "site", "url")}, AT)
     return out.select("page_id", F.concat_ws("\n", "note_name", "full_content").alias("note"))
 
 
@@ -183,9 +182,9 @@ def word_count(spark, d):
     return table(spark, d, "documents").select("doc_id", usage.words_counted(F.col("text")).alias("n"))
 
 
-@query("SELECT page_id, CASE WHEN parse_ms < 1000 THEN floor(parse_ms + 0.5)::BIGINT::VARCHAR || 'ms' END AS t FROM reader_pages WHERE parse_ms < 1000")
+@query("SELECT page_id, CASE WHEN parse_ms < 1000 THEN floor(parse_ms + 0.5)::BIGINT::VARCHAR || 'ms' ELSE format('{:.2f}s', parse_ms / 1000) END AS t FROM reader_pages")
 def duration_text(spark, d):
-    return table(spark, d, "reader_pages").where("parse_ms < 1000").select("page_id", usage.duration_text(F.col("parse_ms")).alias("t"))
+    return table(spark, d, "reader_pages").select("page_id", usage.duration_text(F.col("parse_ms")).alias("t"))
 
 
 # highlights ----------------------------------------------------------------------
@@ -581,11 +580,10 @@ def episode_comments(spark, d):
 # pages ---------------------------------------------------------------------------
 
 
-@query("SELECT page_id, regexp_extract(full_html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(full_html, '<html lang=\"([a-z-]+)\"', 1) AS language FROM reader_pages WHERE full_html IS NOT NULL AND NOT contains(regexp_extract(full_html, '<title>([^<]*)</title>', 1), '&')")
+@query("SELECT page_id, replace(replace(replace(regexp_extract(full_html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title, regexp_extract(full_html, '<html lang=\"([a-z-]+)\"', 1) AS language FROM reader_pages WHERE full_html IS NOT NULL")
 def page_facts(spark, d):
     p = table(spark, d, "reader_pages").where("full_html is not null")
-    f = p.select("page_id", pages.facts(F.col("full_html"), F.col("url")).alias("f")).select("page_id", "f.title", "f.language")
-    return f.where(~F.col("title").contains("&"))
+    return p.select("page_id", pages.facts(F.col("full_html"), F.col("url")).alias("f")).select("page_id", "f.title", "f.language")
 
 
 @query()
@@ -647,10 +645,10 @@ def nested_comments(spark, d):
     return pages.nested_comments(top.unionByName(replies), "episode_id", "id", "parent", "place", "author", "text")
 
 
-@query("SELECT n_nationkey, 'x #' || n_name || ' [t](https://x.test/) y' AS text FROM nation WHERE NOT contains(n_name, ' ')")
+@query("SELECT n_nationkey, 'x #' || n_name || ' [t](https://x.test/) y' AS text FROM nation")
 def inline_entities(spark, d):
     text = F.concat(F.lit('x <e type="hashtag" hid="1" title="%23'), F.col("n_name"), F.lit('" /> <e type="web" href="https%3A%2F%2Fx.test%2F" title="t" /> y'))
-    return table(spark, d, "nation").where("not contains(n_name, ' ')").select("n_nationkey", pages.inline_links(text).alias("text"))
+    return table(spark, d, "nation").select("n_nationkey", pages.inline_links(text).alias("text"))
 
 
 @query("SELECT n_nationkey, n_name AS name, 'Show' AS show, 3723 AS seconds, '2024-05-06' AS day, n_nationkey AS episode FROM nation")
@@ -674,12 +672,12 @@ def keyset_page(spark, d):
     return keyset_page(c, 5000010000, "comment_id", 100)
 
 
-@query("SELECT clip_id, regexp_extract(markdown, '(?m)^source: \"?([^\"\\n]*)\"?$', 1) AS source FROM (SELECT DISTINCT ON (clip_id) * FROM clip_results) WHERE starts_with(markdown, '---' || chr(10)) AND contains(markdown, chr(10) || 'source: \"http')")
+@query("SELECT clip_id, nullif(regexp_extract(regexp_extract(markdown, '^---\\n([\\s\\S]*?)\\n---', 1), '(?m)^source: *\"?([^\"\\n]*)\"?$', 1), '') AS source FROM (SELECT DISTINCT ON (clip_id) * FROM clip_results)")
 def front_matter_read(spark, d):
     from paperloom.sources.readers import front_matter
 
-    c = table(spark, d, "clip_results").dropDuplicates(["clip_id"]).where("startswith(markdown, concat('---', char(10))) and contains(markdown, concat(char(10), 'source: \"http'))")
-    return front_matter(c).select("clip_id", F.try_element_at("front", F.lit("source")).alias("source"))
+    c = table(spark, d, "clip_results").dropDuplicates(["clip_id"])
+    return front_matter(c).select("clip_id", F.nullif(F.try_element_at("front", F.lit("source")), F.lit("")).alias("source"))
 
 
 @query("SELECT n_nationkey, n_name || ',\"a,\"\"b\"\"\"' AS line FROM nation")
