@@ -232,6 +232,27 @@ def selected(html: Column, wanted: Sequence[tuple[str, str | None, bool]]) -> Co
     return each(html)
 
 
+def _own_text(e: Element, attribute: str) -> str:
+    """The text of an element without that of marked elements in it; breaks are blanks."""
+    out = []
+    for c in e.children:
+        if isinstance(c, str):
+            out.append(c)
+        elif attribute not in c.attributes:
+            out.append("\n" if c.tag == "br" else _own_text(c, attribute))
+    return "".join(out)
+
+
+def marked(html: Column, attribute: str) -> Column:
+    """The texts of all elements with an attribute, in their order; null has none."""
+
+    @F.pandas_udf("array<string>")
+    def each(pages: pd.Series) -> pd.Series:
+        return pd.Series([[_own_text(e, attribute) for e in parse(p).descendants() if attribute in e.attributes] if isinstance(p, str) else [] for p in pages], dtype=object)
+
+    return each(html)
+
+
 # pages ---------------------------------------------------------------------------
 
 # Attributes that hold the address of an image loaded late.

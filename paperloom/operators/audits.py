@@ -74,14 +74,22 @@ def examples(cells: DataFrame, by: str, order: Sequence[str], most: int = 20) ->
 
 
 def plain(text: Column) -> Column:
-    """A text as it is compared: letters, digits and ideographs in lower case."""
-    return F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", ""))
-
-
-def covered(blocks: DataFrame, notes: DataFrame, key: str, block_text: str, note_text: str, lead: int = 40) -> DataFrame:
-    """Blocks with whether the note of their page holds their beginning."""
-    n = notes.withColumn("_n", plain(F.col(note_text))).drop(note_text)
-    return blocks.join(n, key).withColumn("is_covered", F.contains(F.col("_n"), F.left(plain(F.col(block_text)), F.lit(lead)))).drop("_n")
+    """A text as it is compared: links as their texts; letters, digits and ideographs in lower case."""
+    return F.lower(F.regexp_replace(F.regexp_replace(text, r"\[([^\[\]]*)\]\([^()]*\)", "$1"), r"[^\p{L}\p{N}]+", ""))
+
+
+def covered(pages: DataFrame, notes: DataFrame, key: str, blocks: str, note_text: str) -> DataFrame:
+    """Notes with ``n_blocks``, the blocks of their page (an array of texts), and
+    ``n_covered``, those the note holds from beginning to end; blocks without
+    letters and digits are compared but for blanks. A note without page, or whose
+    page has no blocks, has none of either. ``key`` is unique in ``pages``."""
+    tight = lambda c: F.regexp_replace(c, r"\s+", "")
+    forms = F.transform(F.filter(blocks, lambda b: tight(b) != ""), lambda b: F.struct(plain(b).alias("plain"), tight(b).alias("tight")))
+    both = notes.join(pages.select(key, forms.alias("_b")), key, "left")
+    both = both.withColumns({"_n": plain(F.coalesce(note_text, F.lit(""))), "_t": tight(F.coalesce(note_text, F.lit("")))})
+    held = F.filter("_b", lambda b: F.when(b["plain"] != "", F.contains(F.col("_n"), b["plain"])).otherwise(F.contains(F.col("_t"), b["tight"])))
+    size = lambda c: F.coalesce(F.when(c.isNotNull(), F.size(c)), F.lit(0)).cast("long")
+    return both.withColumns({"n_blocks": size(F.col("_b")), "n_covered": size(held)}).drop("_b", "_n", "_t")
 
 
 def all_points(points: Sequence[tuple[str, Column]]) -> Column:

@@ -8,7 +8,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.functions import urls
+from paperloom.functions import dom, urls
 from paperloom.operators import audits, blocks, highlights, notes, pages, records, routing, tables, transcripts, usage
 from paperloom.operators.routing import Property, Template
 from paperloom.session import table
@@ -445,9 +445,9 @@ def batch_stats(spark, d):
 
 @query()
 def block_coverage(spark, d):
-    pages = table(spark, d, "reader_pages").select("page_id", F.explode(F.regexp_extract_all("reader_html", F.lit(r"<p data-b=\"\d+\">(.*?)</p>"), F.lit(1))).alias("block"))
-    clips = table(spark, d, "clip_results").where("page_id is not null").dropDuplicates(["clip_id"]).select("page_id", "clip_id", "markdown")
-    return audits.covered(pages.where("block <> ''"), clips, "page_id", "block", "markdown").groupBy("clip_id").agg(F.count("*").alias("n_blocks"), F.count_if("is_covered").alias("n_covered"))
+    pages = table(spark, d, "reader_pages").select("page_id", dom.marked(F.col("reader_html"), "data-b").alias("blocks"))
+    clips = table(spark, d, "clip_results").dropDuplicates(["clip_id"]).select("page_id", "clip_id", "markdown")
+    return audits.covered(pages, clips, "page_id", "blocks", "markdown").select("clip_id", "n_blocks", "n_covered")
 
 
 @query("SELECT p_partkey, list_filter([CASE WHEN NOT p_size > 10 THEN 'size' END, CASE WHEN NOT p_retailprice > 1000 THEN 'price' END], lambda x: x IS NOT NULL) AS failed FROM part")

@@ -133,3 +133,13 @@ def test_streams(spark, tmp_path):
     assert per == {date(2024, 1, 1): 3, date(2024, 1, 2): 2}
     noted = views.notes_of(stream.withColumn("title", F.col("action")), Template("t", "{{title}}", "{{title|upper}}"), {"title": F.col("title")}, datetime(2025, 1, 1, tzinfo=UTC))
     assert {r.content for r in views.drained(noted.select("content"), "noted").collect()} == {"PLAY", "PAUSE"}
+
+
+def test_blocks_of_every_kind_are_audited(spark):
+    html = '<h1 data-b="1">A head</h1><p data-b="2">See <a href="/x">the <b>link</b></a> &amp; stay' + " on" * 30 + ' end</p><ul><li data-b="3">One<br>two<li data-b="4"></ul><dl><dt data-b="5">x<dd data-b="6">y</dl><pre data-b="7">{}</pre><p>no mark</p>'
+    pages_ = spark.createDataFrame([(1, html), (2, None), (3, "<p>no mark</p>")], "page_id long, html string").select("page_id", dom.marked(F.col("html"), "data-b").alias("blocks"))
+    whole = "# A head\n\nSee [the **link**](https://x.test/x) & stay" + " on" * 30 + " end\n\n- One\n  two\n\n`{ }`"
+    notes_ = [(1, 1, whole), (2, 1, whole.replace(" end", "")), (3, 2, "a"), (4, 3, "a"), (5, None, "a"), (6, 1, None), (7, 9, "a")]
+    got = audits.covered(pages_, spark.createDataFrame(notes_, "clip_id long, page_id long, m string"), "page_id", "blocks", "m")
+    # y is in stay, and x in none
+    assert {r.clip_id: (r.n_blocks, r.n_covered) for r in got.collect()} == {1: (6, 5), 2: (6, 4), 3: (0, 0), 4: (0, 0), 5: (0, 0), 6: (6, 0), 7: (0, 0)}
