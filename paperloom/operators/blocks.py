@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,7 +65,7 @@ def list_groups(blocks: DataFrame, by: str, place: str, kind: str) -> DataFrame:
     return g.withColumn("list_number", F.when(F.col(kind) == ORDERED, n)).drop("_s")
 
 
-def walked(blocks: DataFrame, doc: str = "doc_token", key: str = "block_id", parent: str = "parent_id", place: str = "block_no", depth: int = 32) -> DataFrame:
+def walked(blocks: DataFrame, doc: str = "doc_token", key: str = "block_id", parent: str = "parent_id", place: str = "block_no") -> DataFrame:
     """Blocks with their ``depth`` and ``path`` from a root, the order of a walk
     depth first. A block whose parent isn't in the table is a root; a cycle's
     blocks have no path and are left out. Each round joins one level of all
@@ -75,7 +77,7 @@ def walked(blocks: DataFrame, doc: str = "doc_token", key: str = "block_id", par
     known = b.select(F.col(doc).alias("_d"), F.col(key).alias("_k"))
     level = b.join(known, (F.col(doc) == F.col("_d")) & (F.col(parent) == F.col("_k")), "left_anti").select(doc, key, place, F.lit(0).alias("depth"), F.array(step(F.col(place))).alias("path"))
     out = level = settle(level, "level")
-    for d in range(1, depth):
+    for d in count(1):
         up = level.select(doc, F.col(key).alias(parent), F.col("path").alias("_p"))
         level = settle(b.join(up, [doc, parent]).select(doc, key, place, F.lit(d).alias("depth"), F.concat("_p", F.array(step(F.col(place)))).alias("path")), "level")
         if level.isEmpty():

@@ -143,3 +143,9 @@ def test_blocks_of_every_kind_are_audited(spark):
     got = audits.covered(pages_, spark.createDataFrame(notes_, "clip_id long, page_id long, m string"), "page_id", "blocks", "m")
     # y is in stay, and x in none
     assert {r.clip_id: (r.n_blocks, r.n_covered) for r in got.collect()} == {1: (6, 5), 2: (6, 4), 3: (0, 0), 4: (0, 0), 5: (0, 0), 6: (6, 0), 7: (0, 0)}
+
+
+def test_deep_outlines_are_walked_to_the_end(spark):
+    rows = [("d", str(i), str(i - 1) if i else None, i) for i in range(40)] + [("d", "x", "y", 98), ("d", "y", "x", 99)]
+    got = blocks.walked(spark.createDataFrame(rows, "doc_token string, block_id string, parent_id string, block_no long")).collect()
+    assert sorted((r.depth, r.block_id) for r in got) == [(i, str(i)) for i in range(40)]
