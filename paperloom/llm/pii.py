@@ -8,9 +8,10 @@ the calendar, its check digit made anew), so equal values stay linked across
 documents and different values stay different. Addresses, names and mailboxes
 have no alphabet of their own; they get a keyed tag of their normal form.
 
-Names need a given and a family name together. The known parts are a lexicon
-of bounded size: the given list, and parts that occur with several known ones
-in the names of users.
+Names need a given and a family name together. The known parts are the given
+list, and parts that occur with several known ones in the names of users. As
+long as there are few, they are broadcast; more are a table that is joined with
+the pieces of the texts that could be parts, which finds the same.
 
 Matching is done on a folded copy of the text of equal length (wide forms,
 look-alike letters and kinds of blank as plain characters), so what is replaced
@@ -32,6 +33,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import date, timedelta
 from functools import lru_cache
+from itertools import repeat
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,7 +43,7 @@ from paperloom.llm.unify import INVISIBLE, LOOK_ALIKES, ZWJ, ZWNJ
 from paperloom.session import settle
 
 KINDS = ("email", "id_number", "phone", "address", "person")
-#: Most learned parts of names for each role; the support asked for grows so that no more can have it.
+#: Most parts of names that are broadcast; more are joined with the texts, with the same result.
 LEXICON = 100_000
 
 # folding ----------------------------------------------------------------------
@@ -257,6 +259,54 @@ class Names:
         return [(end + 1 - len(word), end + 1, word) for end, word in self._machine.iter(low)] if self._machine else []
 
 
+_LATIN_RUN, _HAN_RUN = re.compile("[a-zäöüßé]+(?:-[a-zäöüßé]+)*"), re.compile("[一-鿿]+")
+
+
+def _lowered(text: str) -> str:
+    """In lower case, of equal length."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def candidates(low: str) -> list[tuple[int, int, str]]:
+    """The places that a learned part can have in a text in lower case: of Latin
+    letters from edge to edge (letters beyond ASCII are no edge by themselves but
+    may stand beside one), of ideographs any one to four."""
+    found = []
+    for m in _LATIN_RUN.finditer(low):
+        s, e, word = m.start(), m.end(), m[0]
+        found.append((s, e, word))
+        if not word.isascii():
+            odd = [i for i in range(s, e) if low[i] > "\x7f"]
+            starts, ends = {s, *(i + 1 for i in odd)}, {e, *odd}
+            found += [(a, b, low[a:b]) for a in starts for b in ends if a < b and (a, b) != (s, e)]
+    for m in _HAN_RUN.finditer(low):
+        s, e = m.span()
+        found += [(a, b, low[a:b]) for a in range(s, e) for b in range(a + 1, min(a + 4, e) + 1)]
+    return found
+
+
+class _Either:
+    """Membership in one of two sets."""
+
+    def __init__(self, a, b):
+        self.a, self.b = a, b
+
+    def __contains__(self, x) -> bool:
+        return x in self.a or x in self.b
+
+
+class JoinedNames:
+    """The listed parts with those of the learned ones that a text was found to hold."""
+
+    def __init__(self, listed: Names, given: frozenset, family: frozenset):
+        self.listed, self.learned = listed, given | family
+        self.given, self.family = _Either(listed.given, given), _Either(listed.family, family)
+
+    def hits(self, low: str) -> list[tuple[int, int, str]]:
+        return sorted({*self.listed.hits(low), *(c for c in candidates(low) if c[2] in self.learned)}) if self.learned else self.listed.hits(low)
+
+
 def _machine(words):
     """An automaton over ``words``; by pattern where the library is missing."""
     if not words:
@@ -293,9 +343,7 @@ def _han(ch: str) -> bool:
 
 def persons(text: str, names: Names) -> list[tuple[int, int]]:
     """Spans of a given and a family name together."""
-    low = text.lower()
-    if len(low) != len(text):
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    low = _lowered(text)
     hits = names.hits(low)
     if len(hits) < 2:
         return []
@@ -338,12 +386,12 @@ def named(text: str, names: Names) -> bool:
     return 2 <= len(text) <= 5 and all(map(_han, text)) and any(text[:n] in names.family and text[n:] in names.given for n in (1, 2))
 
 
-def learn_names(users: DataFrame, parts: DataFrame, support: int = 2, bound: int = LEXICON) -> Names:
+def learn_names(users: DataFrame, parts: DataFrame, support: int = 2, bound: int = LEXICON) -> Names | DataFrame:
     """The given lexicon (``part_role, name_part``) and the parts that stand with
     ``support`` different known ones in users' names (``user_name``), twice over.
 
-    The support grows with the number of different pairs so that at most
-    ``bound`` parts of a role can have it: the lexicon's size is proven, not hoped for.
+    Up to ``bound`` parts come as :class:`Names`, more as a table (``part, role,
+    listed``); :func:`replace` takes either and finds the same.
     """
     name = F.trim(F.col("user_name"))
     latin = r"^(?:(?:Ms|Mr|Mrs|Dr|Prof|Frau|Herr|Mme|M)\.? )?([A-ZÄÖÜ][a-zäöüßé]+)(?: [A-Z]\.)? ([A-ZÄÖÜ][a-zäöüßé]+(?:-[A-ZÄÖÜ][a-zäöüßé]+)?)$"
@@ -356,14 +404,34 @@ def learn_names(users: DataFrame, parts: DataFrame, support: int = 2, bound: int
     splits = splits.when(name.rlike(han), F.array(*(pair(tail(n), F.substring(name, 1, n)) for n in (1, 2))))
     pairs = users.select(F.explode(splits).alias("p")).select("p.given", "p.family").where("given <> '' and family <> ''").distinct()
     pairs = settle(pairs, "names")
-    least = max(support, -(-pairs.count() // bound))
     known = parts.select(F.lower("part_role").alias("role"), F.lower("name_part").alias("part")).distinct()
     given = known.where("role = 'given'").select(F.col("part").alias("given"))
     family = known.where("role = 'family'").select(F.col("part").alias("family"))
-    grow = lambda a, b: pairs.join(a, a.columns, "left_semi").groupBy(b).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(b)
+    grow = lambda a, b: pairs.join(a, a.columns, "left_semi").groupBy(b).agg(F.count("*").alias("n")).where(F.col("n") >= support).select(b)
     for _ in range(2):
         family, given = family.union(grow(given, "family")).distinct(), given.union(grow(family, "given")).distinct()
-    return Names(frozenset(r.given for r in given.collect() if r.given), frozenset(r.family for r in family.collect() if r.family))
+    both = given.select(F.col("given").alias("part"), F.lit("given").alias("role")).union(family.select(F.col("family").alias("part"), F.lit("family").alias("role")))
+    listed = known.select("part", "role", F.lit(True).alias("listed"))
+    lexicon = settle(both.where("part <> ''").join(listed, ["part", "role"], "left").withColumn("listed", F.coalesce("listed", F.lit(False))), "lexicon")
+    return lexicon if lexicon.count() > bound else _collected(lexicon)
+
+
+def _collected(lexicon: DataFrame) -> Names:
+    rows = lexicon.collect()
+    return Names(frozenset(r.part for r in rows if r.role == "given"), frozenset(r.part for r in rows if r.role == "family"))
+
+
+def _held(df: DataFrame, lexicon: DataFrame, text: str, digest: str) -> DataFrame:
+    """``digest, given, family``: the learned parts that each different text holds."""
+
+    @F.pandas_udf("array<string>")
+    def pieces(texts: pd.Series) -> pd.Series:
+        return pd.Series([sorted({w for _, _, w in candidates(_lowered(fold(t)[0]))}) for t in texts], dtype=object)
+
+    texts = df.select(F.col(f"`{text}`").alias("t")).where("t is not null").distinct()
+    each = texts.select(F.sha2("t", 256).alias(digest), F.explode(pieces("t")).alias("part"))
+    of = lambda role: F.collect_set(F.when(F.col("role") == role, F.col("part"))).alias(role)
+    return each.join(lexicon.where("not listed").select("part", "role"), "part").groupBy(digest).agg(of("given"), of("family"))
 
 
 # detection --------------------------------------------------------------------
@@ -415,18 +483,26 @@ def pseudonymised(text: str, names: Names, cipher: Cipher, whole_name: bool = Fa
     return "".join([*out, text[at:]]), sorted({k for _, _, k in found}, key=KINDS.index)
 
 
-def replace(df: DataFrame, names: Names, key: bytes, text: str = "text", slot: str = "slot", user_slot: str = "user") -> DataFrame:
+def replace(df: DataFrame, names: Names | DataFrame, key: bytes, text: str = "text", slot: str = "slot", user_slot: str = "user") -> DataFrame:
     """``df`` with ``clean`` (the text with placeholders) and ``kinds``."""
-    shared = df.sparkSession.sparkContext.broadcast((names.given, names.family))
+    prefix = "_found"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    listed = names if isinstance(names, Names) else _collected(names.where("listed"))
+    shared = df.sparkSession.sparkContext.broadcast((listed.given, listed.family))
 
     @F.pandas_udf("struct<clean string, kinds array<string>>")
-    def both(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def both(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         here, cipher = Names(*shared.value), Cipher(key)
-        for texts, slots in batches:
-            rows = [(None, []) if t is None else pseudonymised(t, here, cipher, s == user_slot) for t, s in zip(texts, slots)]
+        for texts, slots, *learned in batches:
+            own = (JoinedNames(here, *(frozenset(() if x is None else x) for x in gf)) for gf in zip(*learned)) if learned else repeat(here)
+            rows = [(None, []) if t is None else pseudonymised(t, n, cipher, s == user_slot) for t, s, n in zip(texts, slots, own)]
             yield pd.DataFrame(rows, columns=["clean", "kinds"], dtype=object)
 
-    prefix = "_found"
-    while prefix in df.columns:
-        prefix += "_"
-    return df.withColumn(prefix, both(F.col(f"`{text}`"), F.col(f"`{slot}`"))).withColumns({"clean": F.col(f"{prefix}.clean"), "kinds": F.col(f"{prefix}.kinds")}).drop(prefix)
+    columns, more = df.columns, []
+    if not isinstance(names, Names):
+        digest, given, family = (f"{prefix}{x}" for x in ("digest", "given", "family"))
+        held = _held(df, names, text, digest).withColumnsRenamed({"given": given, "family": family})
+        df, more = df.withColumn(digest, F.sha2(F.col(f"`{text}`"), 256)).join(held, digest, "left"), [F.col(given), F.col(family)]
+    out = df.withColumn(prefix, both(F.col(f"`{text}`"), F.col(f"`{slot}`"), *more)).withColumns({"clean": F.col(f"{prefix}.clean"), "kinds": F.col(f"{prefix}.kinds")})
+    return out.select(*(F.col(f"`{c}`") for c in columns if c not in ("clean", "kinds")), "clean", "kinds")

@@ -114,3 +114,17 @@ def test_query(spark, tiny):
 
     rows = queries.p4_found(spark, tiny)
     assert rows.columns == ["comment_id", "slot", "pii_kind"] and rows.count() > 10
+
+
+def test_support_stays_and_many_parts_are_joined(spark):
+    users = [("Mira Szarvane",), ("Elin Szarvane",), ("佘若岚",), ("佘知秋棠",), *((f"Mira {chr(65 + i)}once",) for i in range(9))]
+    parts = [("given", x) for x in ("Mira", "Elin", "若岚", "知秋棠")] + [("family", x) for x in ("Velmoor", "纪", "司徒")]
+    learn = lambda bound: pii.learn_names(spark.createDataFrame(users, "user_name string"), spark.createDataFrame(parts, "part_role string, name_part string"), bound=bound)
+    few, many = learn(100), learn(2)
+    assert isinstance(few, pii.Names) and "szarvane" in few.family and "佘" in few.family and not isinstance(many, pii.Names)
+    texts = [t for t, _ in FOUND] + NOTHING + ["Thanks to Mira Szarvane!", "szarvane, elin", "这段是佘若岚讲的", "ämira szarvaneö", "Mira Szarvane-Brae", "x-mira szarvane", "Mi​ra Sz​arvane老师", None]
+    df = spark.createDataFrame([(i, "user" if i % 2 else "body", t, i) for i, t in enumerate([*texts, *texts[:3], "Nobody Szarvane", "Nobody Szarvane", "佘大宝"])], "id int, slot string, text string, _found int")
+    one, two = ({r.id: (r.clean, r.kinds) for r in pii.replace(df, names, b"key").collect()} for names in (few, many))
+    assert one == two and len(two) == df.count()
+    assert {df_id for df_id, (_, k) in two.items() if "person" in k} >= {len(texts) - 8 + i for i in range(4)}
+    assert pii.replace(df, many, b"key").columns == [*df.columns, "clean", "kinds"]
