@@ -8,7 +8,9 @@ hashed character n-grams, the segment's length, its place (heading, code,
 front matter) and its relation to the record's title. It learns from weak
 labels: a response status or a phrase labels the short record it stands in,
 the shape of a segment that is a label and a placeholder labels residue, and
-records that show their own title label what real text looks like.
+records that show their own title label what real text looks like. In longer
+segments it judges the sentence around each placeholder: unfilled slots against
+texts that speak of placeholders.
 
 A record is a case if a segment is residue, or if it has notices or filler and
 neither its own title as a heading (pages) nor a segment of real text (notes).
@@ -81,6 +83,24 @@ FILLER_PHRASES = ("Lorem ipsum dolor sit amet.", "Text goes here. Text goes here
 NOTATIONS = ("{{title}}", "{{author|wikilink}}", "{% for tag in tags %}{{tag}}{% endfor %}", "<%= title %>", "%%TITLE%%", "%TITLE%", "${title}", "{$title}", "#{title}", "@@TITLE@@", "{0}", "__TITLE__", "[INSERT TITLE HERE]", "[Your name]", "[object Object]", "undefined")
 SLOTS = ("{}", "{}.", "By {}", "Title: {}", "Hello {},", "Read more about {}", "{} – {}", "Dear {}, here is your clip.")
 
+# Sentences with unfilled slots, sentences that speak of placeholders, and words of the latter.
+LONG_SLOTS = (
+    "This article was written by {} and published on {} in the weekly edition of {}.", "Published on {} by {}, updated on {} by our editorial team.", "Thank you for subscribing to {}; your next issue arrives on {}.",
+    "You are reading {} on {}, the magazine for curious readers.", "Hello {}, your clip of {} has been saved to your library.", "All rights reserved by {}; republished here with the permission of {}.",
+    "Continue reading {} and many other stories by {} in our archive.", "We talked to {} about the new edition and what comes next.", "{} lives in {} and has worked for {} since {}.",
+    "Dieser Artikel wurde von {} geschrieben und am {} veröffentlicht.", "Veröffentlicht am {} von {} in der Rubrik {}, zuletzt geändert am {}.", "Hallo {}, der Beitrag {} wurde in deiner Bibliothek gespeichert.",
+    "Cet article a été écrit par {} et publié le {} dans la rubrique {}.", "Publié le {} par {}, mis à jour le {} par la rédaction.", "Bonjour {}, la page {} a été enregistrée dans votre bibliothèque.",
+    "本文由{}撰写，于{}发表在{}栏目。", "发布于{}，作者{}，更新时间{}，来源{}。", "感谢{}对本站的支持，欢迎继续阅读{}的其他文章。", "您好，{}，您收藏的{}已经保存到资料库。",
+)
+MENTIONS = (
+    "In the template, {} is replaced by the name of the page.", "Write {} if you want plain text instead of a link.", "We put {} in quotes because the parser expected that form.", "The script prints {} when a value is nested.",
+    "{} is the variable for the name of the author.", "Use {} in your template to insert the date.", "The old engine left {} in the output when a field was empty.", "If you see {} in a note, the variable was not resolved.", "The syntax {} comes from an older template language.",
+    "Under these rules the contract is {} and void.", "This is {} behaviour of the compiler.", "The function returns {} when nothing was found.",
+    "In der Vorlage wird {} durch den Titel ersetzt.", "Schreibe {}, wenn du den Link brauchst.", "Die Variable {} steht für den Namen des Autors.", "Dans le modèle, {} est remplacé par le nom.", "La variable {} contient le nom de l'auteur.", "Écrivez {} si vous voulez un lien.",
+    "模板里写{}就会换成名字。", "变量{}表示作者的名字。", "在模板中，{}会被替换成日期。", "如果看到{}，说明变量没有被替换。",
+)
+MENTION = re.compile(r"templates?\b|\bvariables?\b|placeholder|syntax|\bwrite\b|replaced|\bprints?\b|\bquotes\b|\bengine\b|\bparser\b|\bvoid\b|behaviou?r|\breturns?\b|vorlage|platzhalter|ersetzt|schreib(?:e|t)?\b|modèle|remplacé|écri(?:re|vez)\b|模板|变量|占位符|替换|换成", re.I)
+
 BLOCK = re.compile(r"<([A-Za-z][A-Za-z0-9]*)\b[^>]*?\bdata-b\s*=\s*[\"']?\d+[\"']?[^>]*>(.*?)(?=</\1\s*>|<(?!/?(?:b|i|em|a|br|code|strong|span|sub|sup|mark|u|s|small|img)\b)[A-Za-z/!]|\Z)", re.S | re.I)
 TAG = re.compile(r"<[A-Za-z/!][^>]*>")
 LEADING_LINK = re.compile(r"\s*<a\b", re.I)
@@ -91,6 +111,7 @@ class Segment:
     text: str
     place: str  # heading, code, meta, list, link or text
     titled: int  # 2: it is the title; 1: it holds the title or is held by it; 0
+    title: str = ""  # without case and accents, where titled is 1
 
 
 def _plain(text: str) -> str:
@@ -99,6 +120,11 @@ def _plain(text: str) -> str:
     return text if text.isascii() else "".join(ch for ch in unicodedata.normalize("NFD", text) if not unicodedata.combining(ch))
 
 
+def _segment(text: str, place: str, title: str) -> Segment:
+    related = _relation(text, title)
+    return Segment(text, place, related, title if related == 1 else "")
+
+
 def _relation(text: str, title: str) -> int:
     """``title`` comes without case and accents."""
     if not title or 2 * len(text) < len(title):  # plain text may be longer: ß is ss
@@ -122,7 +148,7 @@ def page_segments(markup: str | None, title: str | None) -> list[Segment]:
             place = "link"
         else:
             place = "heading" if tag[0] == "h" and tag[1:].isdigit() else "text"
-        found.append(Segment(text, place, _relation(text, title)))
+        found.append(_segment(text, place, title))
     return found
 
 
@@ -139,7 +165,7 @@ def note_segments(markdown: str | None, title: str | None) -> list[Segment]:
                 key, _, value = line.partition(":")
                 value = one_form(value).strip("\"'")
                 if value and key.strip() != "tags":
-                    found.append(Segment(value, "meta", _relation(value, title)))
+                    found.append(_segment(value, "meta", title))
             continue
         if line.lstrip().startswith("```"):
             fence = not fence
@@ -152,7 +178,7 @@ def note_segments(markdown: str | None, title: str | None) -> list[Segment]:
             mark = re.match(r"(#+|>|[-*+](?: \[[ x]\])?) +", text)
             if mark:
                 place, text = ("heading" if text[0] == "#" else "list" if text[0] in "-*+" else "text"), text[mark.end() :]
-        found.append(Segment(text, place, _relation(text, title)))
+        found.append(_segment(text, place, title))
     return found
 
 
@@ -172,6 +198,31 @@ def slot_shaped(seg: Segment) -> bool:
     return _weight(rest) <= 24
 
 
+#: Ends of sentences, within no placeholder.
+_STOP = re.compile(r"[.!?…](?=[\"'”’»)\]]*\s)|[。！？\n]")
+
+
+def slots(seg: Segment) -> list[Segment]:
+    """The sentence around each placeholder of a segment that isn't ``slot_shaped``:
+    without the record's title, and not those placeholders that are the title's own."""
+    if seg.place == "code" or seg.titled == 2 or slot_shaped(seg):
+        return []
+    text = seg.text
+    if seg.title and len(low := _plain(text)) == len(text):
+        at = low.find(seg.title)
+        text = text[:at] + " " + text[at + len(seg.title) :] if at >= 0 else text
+    marks = list(PLACEHOLDER.finditer(text))
+    if not marks and not told(text) and not re.search(r"[{}();]", text):  # values in code and messages
+        marks = list(BARE.finditer(text))
+    marks = [m for m in marks if not (seg.title and _plain(m[0]) in seg.title)]
+    if not marks:
+        return []
+    inside = lambda i: any(m.start() <= i < m.end() for m in marks)
+    edges = [0, *(m.end() for m in _STOP.finditer(text) if not inside(m.start())), len(text)]
+    sentences = [(a, b) for a, b in zip(edges, edges[1:]) if any(a <= m.start() < b for m in marks)]
+    return [Segment(t, "slot", 0) for a, b in sentences if (t := text[a:b].strip())]
+
+
 def is_filler(text: str) -> bool:
     words = re.findall(r"[a-z]+", text.lower())
     if len(words) >= 5 and sum(w in LATIN for w in words) >= 0.6 * len(words):
@@ -188,6 +239,21 @@ def told(text: str) -> bool:
     return bool(STATUS.search(text)) or any(w in low for w in ("script", "skript", "js", "脚本")) and bool(SCRIPTS.search(text))
 
 
+def slot_label(seg: Segment) -> int | None:
+    """What the words around a placeholder suggest."""
+    return RESIDUE if slot_shaped(seg) and PLACEHOLDER.search(seg.text) else REAL if MENTION.search(seg.text) else None
+
+
+def emptied(text: str, seed: int, mark: str) -> str | None:
+    """A sentence of a real text with ``mark`` instead of one of its words."""
+    sentence = max(_STOP.split(text), key=len).strip()[:400]
+    words = list(re.finditer(r"[^\W\d_\u2e80-\uffff]{2,}|[\u4e00-\u9fff]{2}", sentence))
+    if len(words) < 4 or MENTION.search(sentence):
+        return None
+    m = words[seed % len(words)]
+    return sentence[: m.start()] + mark + sentence[m.end() :]
+
+
 def weak_labels(segments: Sequence[Segment]) -> list[tuple[int | None, bool]]:
     """The kinds that statuses, phrases and shapes suggest, None where they say
     nothing, and whether the segment is one of the telling ones."""
@@ -206,6 +272,8 @@ def weak_labels(segments: Sequence[Segment]) -> list[tuple[int | None, bool]]:
         marked = bool(PLACEHOLDER.search(s.text) or BARE.search(s.text))
         if marked and slot_shaped(s):
             labels.append((RESIDUE, True))
+        elif marked and any(slot_label(x) != REAL for x in slots(s)):
+            labels.append((None, True))  # an unfilled slot, perhaps
         elif s.place in ("code", "meta"):
             labels.append((REAL, marked))
         elif is_filler(s.text):
@@ -227,14 +295,16 @@ HEX, DIGITS = re.compile(r"[0-9a-f]{8,}"), str.maketrans("123456789", "0" * 9)
 
 def features(segments: Sequence[Segment]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Indices, segment numbers and values of the hashed features of all segments at once."""
-    texts = [HEX.sub("#", s.text).translate(DIGITS).lower() for s in segments]
+    # around a placeholder the words count, not its notation, and apart from those of whole segments
+    texts = [HEX.sub("#", PLACEHOLDER.sub("◆", s.text) if s.place == "slot" else s.text).translate(DIGITS).lower() for s in segments]
+    apart = np.array([0x51ED270B if s.place == "slot" else 0 for s in segments] + [0], dtype=np.uint64)
     flat = np.frombuffer("\0".join(["", *(f"\x01{t}\x02" for t in texts), ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     owner = np.cumsum(flat == 0) - 1
     index, number = [], []
     for n in (2, 3, 4):
         if len(flat) <= n:
             continue
-        code = np.full(len(flat) - n + 1, 0x9E3779B97F4A7C15 + n, dtype=np.uint64)
+        code = np.uint64(0x9E3779B97F4A7C15 + n) ^ apart[owner[: len(flat) - n + 1]]
         inside = np.ones(len(code), dtype=bool)
         for k in range(n):
             part = flat[k : k + len(code)]
@@ -310,16 +380,20 @@ def fit(segments: Sequence[Segment], labels: Sequence[int], steps: int = 320, ba
 
 
 def judged(model: Model, records: Sequence[Sequence[Segment]]) -> list[np.ndarray]:
-    """The kind of each segment of each record; links and code count as real."""
+    """The kind of each segment of each record; links and code count as real.
+    Residue in longer segments is told by the sentences around the placeholders."""
     flat = [s for segments in records for s in segments if s.place not in ("link", "code")]
+    around = [slots(s) if PLACEHOLDER.search(s.text) or BARE.search(s.text) else [] for s in flat]
     p = model.scores(flat)
+    slot = iter(model.scores([x for own in around for x in own]).argmax(axis=1).tolist())
     # ties go to real text, the first kind
     best, at, kinds = p.argmax(axis=1), 0, []
+    unfilled = [any([next(slot) == RESIDUE for _ in own]) for own in around]
     for segments in records:
         own = np.zeros(len(segments), dtype=int)
         for i, s in enumerate(segments):
             if s.place not in ("link", "code"):
-                own[i] = best[at]
+                own[i] = RESIDUE if unfilled[at] else REAL if around[at] and best[at] == RESIDUE else best[at]
                 at += 1
         kinds.append(own)
     return kinds
@@ -341,8 +415,8 @@ def replaced(segments: Sequence[Segment], kinds: Sequence[int], page: bool) -> b
 
 
 def is_case(segments: Sequence[Segment], kinds: Sequence[int], page: bool) -> bool:
-    # residue by the classifier, checked: there is a placeholder, in no code and not in the title
-    return any(k == RESIDUE and slot_shaped(s) for s, k in zip(segments, kinds)) or replaced(segments, kinds, page)
+    # residue by the classifier, checked: there is a placeholder, in no code and not the title's own
+    return any(k == RESIDUE and (slot_shaped(s) or slots(s)) for s, k in zip(segments, kinds)) or replaced(segments, kinds, page)
 
 
 def _segments(kind: str, text: str | None, title: str | None) -> list[Segment]:
@@ -373,6 +447,8 @@ def labelled(records: DataFrame) -> DataFrame:
                 for i, (s, (label, tells)) in enumerate(zip(segments, weak_labels(segments))):
                     if label is not None and (label != REAL or tells or hash_of(rec, i) % 8 == 0):
                         rows.append((_text(host) or "", s.text[:4000], s.place, s.titled, label))
+                    if s.place != "link" and (PLACEHOLDER.search(s.text) or BARE.search(s.text)):
+                        rows += [(_text(host) or "", x.text[:4000], x.place, x.titled, k) for x in slots(s) if (k := slot_label(x)) is not None]
             yield pd.DataFrame(rows, columns=["host", "segment", "place", "titled", "label"])
 
     return records.select("rec_id", "kind", "host", "title", "text").mapInPandas(parts, "host string, segment string, place string, titled int, label int")
@@ -385,6 +461,8 @@ def phrases() -> tuple[list[Segment], list[int]]:
     latin = [" ".join(draw.choice(words, int(draw.integers(4, 30)))).capitalize() + "." for _ in range(60)]
     told = {NOTICE: [*statuses, *SCRIPT_PHRASES], FILLER: [*FILLER_PHRASES, *latin], RESIDUE: [slot.replace("{}", n) for n in NOTATIONS for slot in SLOTS]}
     pairs = [(Segment(one_form(t), place, 0), k) for k, texts in told.items() for t in texts for place in ("text", "heading", *["meta"] * (k == RESIDUE))]
+    around = [(Segment(one_form(t.replace("{}", n)), "slot", 0), k) for k, texts in ((RESIDUE, (*SLOTS, *LONG_SLOTS)), (REAL, MENTIONS)) for n in (NOTATIONS[0], "undefined", "null", "NaN") for t in texts] * 4
+    pairs += around
     return [s for s, _ in pairs], [k for _, k in pairs]
 
 
@@ -401,6 +479,13 @@ def gathered(records: Sequence[DataFrame], bound: int) -> list:
 
 def _fitted(rows: list) -> Model:
     segments, labels = phrases()
+    for r, label in rows:
+        seed = hash_of(r.segment)
+        if label == REAL and r.place == "text" and seed % 2 and not (PLACEHOLDER.search(r.segment) or BARE.search(r.segment)) and emptied(r.segment, 0, ""):
+            # within prose, null and the like are words
+            for mark, k in (("{{title}}", RESIDUE), (("undefined", "null", "NaN")[seed % 3], REAL)):
+                segments.append(Segment(emptied(r.segment, seed, mark), "slot", 0))
+                labels.append(k)
     return fit([Segment(r.segment, r.place, r.titled) for r, _ in rows] + segments, [label for _, label in rows] + labels)
 
 

@@ -68,3 +68,24 @@ def test_table(spark, model):
     got = sorted(x.rec_id for x in r.cases(df, model).collect())
     assert got == [i for i, c in enumerate(CASES) if c[3]]
     assert r.cases(df.limit(0), model).count() == 0
+
+
+LONG = [
+    (f"{PROSE} This article was written by {{{{author}}}} and published on {{{{date}}}} in the evening edition of our magazine.", True),
+    ("Queue or chapter? – {{site}}", True),
+    (f"{PROSE} By <%= author %>. {PROSE}", True),
+    ("Dieser Beitrag wurde von ${author} für die Leserinnen und Leser geschrieben und am ${date} veröffentlicht.", True),
+    ("本文由{{author}}撰写，于{{date}}发表在本站的深度报道栏目。", True),
+    (f"{PROSE} In the template, {{{{title}}}} is replaced by the heading of the page. {PROSE}", False),
+    ("Write {{author|wikilink}} if you want a link instead of plain text.", False),
+    (f"{PROSE} Under these rules the contract was null and void, and nobody minded.", False),
+    ("This article was written by undefined and published on undefined in the weekly edition of undefined.", True),
+]
+
+
+def test_slots_in_long_segments(model):
+    each = [r.page_segments(PAGE.format(t="Queue or chapter?", a=PROSE, b=t.replace("<", "&lt;")), "Queue or chapter?") for t, _ in LONG]
+    got = [r.is_case(s, k, True) for s, k in zip(each, r.judged(model, each))]
+    assert [(t, g) for (t, want), g in zip(LONG, got) if g != want] == []
+    own = r.page_segments(PAGE.format(t="The {{title}} variable", a="Home › Help › The {{title}} variable", b=PROSE), "The {{title}} variable")
+    assert not r.is_case(own, r.judged(model, [own])[0], True)
