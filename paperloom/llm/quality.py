@@ -1,11 +1,13 @@
 """Statistics of a document's text that tell prose from lists, tables and junk.
 
-Three kinds of evidence come from the page's geometry: delimiters (bars, tabs,
-commas, gaps) that stand in equal number, or in equal columns, in line after
-line; indentation in even steps and list markers; and how the lengths of lines
-go on from line to line (autocorrelation). With the words, symbols, digits and
-ends of lines they give each line its kind, and the share of running text and
-the number of its sentences give the document's.
+Each line gets its kind from delimiters (bars, tabs, commas, gaps) that stand in
+equal number, or in equal columns, in the line before or after it, and from
+patterns of markers, pairs, code and broken text. The share of running text, the
+number of its sentences and the common words give the document's.
+
+Indentation (``indent_share``), how the lengths of lines go on from line to line
+(``length_autocorr``), and the document's ratios of symbols, digits, ends of
+lines, delimiters and lengths of words are reported and decide nothing.
 
 A document is prose if running text is at least half of it and is more than a
 sentence before a list or table.
