@@ -5,14 +5,16 @@ On it the configuration linear program (how often to fill a container in which
 way) is solved by multiplicative weights: each round prices the lengths by how
 far they are covered, finds the best filling by dynamic programming over the
 knapsack, and adds a little of it. The solution is rounded down to whole
-containers, and what is left, at most a few items for each filling used, goes
-into the fullest containers it fits. Only then are items given places: an item
+containers, and what is left goes, longest first, into the fullest containers it
+fits, by runs of containers with equal room, so the plan for k times as many
+items of each length is about k times the plan. Only then are items given places: an item
 of the k-th in its length takes the k-th place for that length, so no task
 holds more than a share of the items of one length.
 
 Texts longer than a container are cut into full pieces and a rest; no other
-text is split. Lengths are rounded up to ``LEVELS`` steps of the capacity while
-planning, so a container never overflows.
+text is split. Capacities up to ``LEVELS`` are planned on exact lengths; beyond,
+lengths are rounded up to so many steps of the capacity, so a container never
+overflows and a step an item at most stays empty.
 
 Defined results: texts of no tokens (null or empty ones too) have one piece of
 length 0 in container 0; equal lengths are placed by key; repeated keys are
@@ -35,9 +37,12 @@ from pyspark.sql import functions as F
 from paperloom.session import settle
 
 #: Steps of a capacity that lengths are rounded up to while planning.
-LEVELS = 512
+LEVELS = 2048
 #: Rounds of multiplicative weights.
 ROUNDS = 260
+#: Every so many rounds all lengths are priced, which bounds the optimum; in between, of more than
+#: ``ALL`` lengths, only so many as are dearest for their size.
+EXACT, DEAR, ALL = 20, 240, 600
 #: Items of one length ranked by one task, about.
 BUCKET = 200_000
 
@@ -85,11 +90,17 @@ def solve(demand: dict[int, int], room: int, rounds: int = ROUNDS, step: float =
         return [], sizes, 0.0
     covered, used, bound = np.zeros(len(sizes)), {}, 0.0
     rate = np.log(len(sizes) + 1) / step
-    for _ in range(rounds):
+    for turn in range(rounds):
         share = covered / need
         prices = np.exp(-rate * np.minimum(share - share.min(), 60.0 / rate)) / need
-        value, counts = knapsack(sizes, prices, need, room)
-        bound = max(bound, float((prices * need).sum()) / value)
+        dear = np.arange(len(sizes))
+        if turn % EXACT and len(sizes) > ALL:
+            dear = np.sort(np.argpartition(-prices / sizes, DEAR)[:DEAR])
+        value, some = knapsack(sizes[dear], prices[dear], need[dear], room)
+        counts = np.zeros(len(sizes), dtype=np.int64)
+        counts[dear] = some
+        if len(dear) == len(sizes):
+            bound = max(bound, float((prices * need).sum()) / value)
         picked = counts > 0
         amount = step * float((need[picked] / counts[picked]).min())
         key = counts.tobytes()
@@ -122,7 +133,7 @@ def plan(demand: dict[int, int], room: int) -> Plan:
     fillings, sizes, out.bound = solve(demand, room)
     left = Counter({int(s): int(demand[int(s)]) for s in sizes})
     given: Counter = Counter()
-    free: list[tuple[int, int]] = []  # room left, container
+    free: list[tuple[int, int, int]] = []  # room left, first container, how many
     for counts, x in sorted(fillings, key=lambda f: (-f[1], f[0].tobytes())):
         parts = [(int(sizes[i]), int(counts[i])) for i in np.nonzero(counts)[0]]
         copies = min([int(x), *(left[s] // c for s, c in parts)])
@@ -134,31 +145,31 @@ def plan(demand: dict[int, int], room: int) -> Plan:
             left[s] -= copies * c
         rest = room - sum(s * c for s, c in parts)
         if rest > 0:
-            # room at the end of one filling's containers: kept for few of them, as few items are left
-            free += [(rest, out.containers + k) for k in range(min(copies, 2000))]
+            insort(free, (rest, out.containers, copies))
         out.containers += copies
-    free.sort()
+
+    def put(s: int, container: int, each: int, copies: int) -> None:
+        out.add(s, given[s], container, each)
+        given[s] += copies * each
+        left[s] -= copies * each
+
     for s in sorted(left, reverse=True):
-        n = left[s]
-        whole = n // max(1, room // s) if n > 20_000 else 0
-        if whole:
-            # many of a length are left only if the rounds ended early
-            each = room // s
-            out.add(s, given[s], out.containers, each)
-            given[s] += whole * each
-            n -= whole * each
-            out.containers += whole
-        for _ in range(n):
-            k = bisect_left(free, (s, -1))
-            if k < len(free):
-                rest, container = free.pop(k)
-            else:
-                rest, container = room, out.containers
-                out.containers += 1
-            out.add(s, given[s], container, 1)
-            given[s] += 1
-            if rest > s:
-                insort(free, (rest - s, container))
+        while left[s] > 0 and (k := bisect_left(free, (s, -1, -1))) < len(free):
+            rest, container, copies = free.pop(k)
+            each = min(rest // s, left[s])
+            used = min(copies, left[s] // each)
+            put(s, container, each, used)
+            if used < copies:
+                insort(free, (rest, container + used, copies - used))
+            if rest > each * s:
+                insort(free, (rest - each * s, container, used))
+        while left[s] > 0:
+            each = min(room // s, left[s])
+            copies = left[s] // each
+            put(s, out.containers, each, copies)
+            if room > each * s:
+                insort(free, (room - each * s, out.containers, copies))
+            out.containers += copies
     for s in out.runs:
         out.runs[s].sort()
     return out

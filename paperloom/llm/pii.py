@@ -29,7 +29,7 @@ import hashlib
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import date, timedelta
 from functools import lru_cache
@@ -187,9 +187,16 @@ class Cipher:
             if value < n:
                 return value
 
-    def digits(self, text: str, tweak: str) -> str:
-        """Digits permuted among digits of equal number."""
-        return f"{self.permute(int(text), 10 ** len(text), f'{tweak}{len(text)}'):0{len(text)}d}" if text else ""
+    def digits(self, text: str, tweak: str, valid: Callable[[str], bool] | None = None) -> str:
+        """Digits permuted among digits of equal number; of those that are
+        ``valid`` among the valid ones, by walking on until the next of them."""
+        if not text:
+            return ""
+        walks = valid is not None and valid(text)
+        while True:
+            text = f"{self.permute(int(text), 10 ** len(text), f'{tweak}{len(text)}'):0{len(text)}d}"
+            if not walks or valid(text):
+                return text
 
     def tag(self, kind: str, normal: str) -> str:
         h = hashlib.blake2b(f"{kind}|{normal}".encode("utf-8", "surrogatepass"), key=self.key[:64], digest_size=5)
@@ -206,6 +213,32 @@ def _refill(shape: str, chars: str) -> str:
     return "".join(next(left) if ch.isalnum() else ch for ch in shape)
 
 
+# Calling codes of one and two digits; all others have three.
+CALLING = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+#: What national numbers of a country look like, where that is more than their length.
+_NATIONAL = {"86": lambda d: len(d) == 11 and d[0] == "1" and d[1] in "3456789", "1": lambda d: len(d) == 10 and d[0] in "23456789" and d[3] in "23456789"}
+
+
+def phone_parts(plain: str) -> tuple[str, list[int]]:
+    """The calling code of a number and the places of its national digits, so
+    that all writings of a number have the same of both. A number without code
+    has that of the country whose format it is written in."""
+    places = [i for i, c in enumerate(plain) if c.isdigit()]
+    digits = "".join(plain[i] for i in places)
+    begin = 0 if plain[0] == "+" else 2 if digits.startswith("00") else None
+    if begin is not None:
+        n = next((n for n in (1, 2) if digits[begin : begin + n] in CALLING), 3)
+        country, begin = digits[begin : begin + n], begin + n
+        if digits[begin : begin + 1] == "0" and country != "39":
+            begin += 1
+        return country, places[begin:]
+    if len(digits) == 11 and digits[0] == "1":
+        return "86", places
+    if digits[0] == "0":
+        return "86" if re.fullmatch(r"0\d{2,3}-\d{7,8}", plain) else "44", places[1:]
+    return "1", places
+
+
 def pseudonym(kind: str, value: str, cipher: Cipher) -> str:
     """The placeholder of a found value (given as folded text)."""
     if kind == "id_number":
@@ -215,16 +248,17 @@ def pseudonym(kind: str, value: str, cipher: Cipher) -> str:
             moved = _DAY_ONE + timedelta(cipher.permute(day, _DAYS, "born"))
             body = cipher.digits(plain[:6], "place") + moved.strftime("%Y%m%d") + cipher.digits(plain[14:17], "order")
             return f"[ID_NUMBER {_refill(value, body + _check_digit(body))}]"
-        digits = cipher.digits("".join(c for c in plain if c.isdigit()), kind)
+        letters = [c for c in plain if not c.isdigit()]
+        written = lambda d: d if letters else f"{d[:3]}-{d[3:5]}-{d[5:]}"
+        digits = cipher.digits("".join(c for c in plain if c.isdigit()), kind, None if letters else lambda d: id_check(written(d)))
         parts = iter(digits)
         return f"[ID_NUMBER {_refill(value, ''.join(next(parts) if c.isdigit() else c for c in plain))}]"
     if kind == "phone":
         plain = "".join(str(max(0, _HAN_DIGITS.index(c) - 1)) if c in _HAN_DIGITS else c for c in value)
-        # the country stays, as it tells the format
-        head = m[0] if (m := re.match(r"(?:\+|00)\d{1,2}", plain)) else ""
-        rest = plain[len(head) :]
-        moved = _refill(rest, cipher.digits("".join(c for c in rest if c.isdigit()), "phone" + head.replace("00", "+", 1)))
-        return f"[PHONE {head}{moved}]"
+        country, places = phone_parts(plain)
+        moved = iter(cipher.digits("".join(plain[i] for i in places), "phone+" + country, _NATIONAL.get(country)))
+        places = frozenset(places)
+        return f"[PHONE {''.join(next(moved) if i in places else c for i, c in enumerate(plain))}]"
     return f"[{kind.upper()} {cipher.tag(kind, normal_form(kind, value))}]"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -85,23 +86,26 @@ def p5_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.expressions(read)
 
 
-#: The key of the pseudonyms; a cluster sets its own.
-KEY_SETTING, DEFAULT_KEY = "spark.paperloom.pii.key", "change this key"
+#: The key of the pseudonyms. Where it is unset a key is drawn for the process: values stay
+#: linked within it, and nobody can turn pseudonyms back or link them with those of another.
+KEY_SETTING = "spark.paperloom.pii.key"
+_DRAWN = secrets.token_bytes(32)
 
 
-def _comment_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _comment_texts(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """Each text of a comment with its slot: body, user, reply_0, reply_1, ..."""
     entry = lambda slot, text: F.struct(slot.alias("slot"), text.alias("text"))
     replies = F.transform(F.coalesce("reply_previews", F.array()), lambda r, i: entry(F.concat(F.lit("reply_"), i.cast("string")), r["reply_text"]))
     slots = F.concat(F.array(entry(F.lit("body"), F.col("body")), entry(F.lit("user"), F.col("user_name"))), replies)
-    rows = table(spark, sf_dir, "podcast_comments").select("comment_id", F.explode(slots).alias("s"))
-    return rows.select("comment_id", "s.slot", "s.text").where("text is not null and text <> ''")
+    rows = table(spark, sf_dir, "podcast_comments").select("comment_id", *more, F.explode(slots).alias("s"))
+    return rows.select("comment_id", *more, "s.slot", "s.text").where("text is not null and text <> ''")
 
 
-def _replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _replaced(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     names = pii.learn_names(table(spark, sf_dir, "podcast_comments").select("user_name"), table(spark, sf_dir, "name_parts"))
-    key = (spark.conf.get(KEY_SETTING, None) or DEFAULT_KEY).encode()
-    return pii.replace(_comment_texts(spark, sf_dir), names, key)
+    named = spark.conf.get(KEY_SETTING, None)
+    key = named.encode() if named else _DRAWN
+    return pii.replace(_comment_texts(spark, sf_dir, *more), names, key)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,8 +114,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts of comments with placeholders."""
-    return _replaced(spark, sf_dir).select("comment_id", "slot", "clean", "kinds").dropDuplicates(["comment_id", "slot", "clean"])
+    """The texts of all delivered comments with placeholders. Each is cleaned where it is read."""
+    return _replaced(spark, sf_dir, "loaded_at").select("comment_id", "slot", "loaded_at", "clean", "kinds")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

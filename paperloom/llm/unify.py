@@ -8,6 +8,11 @@ scripts drawn like Latin ones. Runs of such characters, with the one character
 before them that they may combine with, are cut out, brought to one form and
 spliced back; everything else is copied as it is.
 
+The form serves as a key. In the text that is given out, words that hold letters
+only Cyrillic or Greek has are written in that script again, and so are words
+that could be of either script where such words prevail: a rule on the form
+alone, so look-alike texts still come out equal, and others apart.
+
 What a reader can see stays: case, accents, added marks, raised and circled
 figures, and joiners inside emoji or in scripts where they shape letters.
 
@@ -40,7 +45,7 @@ LOOK_ALIKES = dict(
 # Drawn as a hyphen, as a line end, as nothing.
 HYPHENS = "\u2010\u2011"
 LINE_ENDS = {"\r\n": "\n", "\r": "\n", "\x85": "\n", "\u2028": "\n", "\u2029": "\n"}
-INVISIBLE = "\u00ad\u061c\u180e\u200b\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufeff"
+INVISIBLE = "\u00ad\u034f\u061c\u180e\u200b\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufeff"
 ZWNJ, ZWJ = "\u200c", "\u200d"
 MARKUP = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|</?[A-Za-z!](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S | re.I)
 
@@ -54,8 +59,10 @@ def _one_form(ch: str) -> str:
     if ch in INVISIBLE:
         return ""
     kind, code = unicodedata.decomposition(ch).split(" ")[0], ord(ch)
-    if unicodedata.category(ch) == "Zs" or ch == "\t":
+    if unicodedata.category(ch) == "Zs" or ch in "\t\u2800\u3164\u115f\u1160\uffa0":
         return " "
+    if 0x2160 <= code <= 0x217F:  # Roman numerals
+        return unicodedata.normalize("NFKC", ch)
     if kind in ("<wide>", "<narrow>", "<noBreak>") or 0x2E80 <= code <= 0x2FD5 or 0xFB00 <= code <= 0xFB06:
         return "".join(map(_one_form, unicodedata.normalize("NFKC", ch))) if kind else ch
     parts = unicodedata.normalize("NFD", ch)
@@ -135,6 +142,46 @@ def one_form(text: str) -> str:
     return text.strip(" \n")
 
 
+_WORD = re.compile(r"[^\W\d_]+")
+#: Scripts with look-alikes: letters of their own, and Latin letters written back (without those of a few languages).
+_SCRIPTS = [
+    (re.compile(f"[{own}]"), {latin: ch for ch, latin in LOOK_ALIKES.items() if low <= ch <= high and latin not in "hdqwQWY"})
+    for own, low, high in (("\u0400-\u052f", "\u0400", "\u052f"), ("\u0370-\u03ff\u1f00-\u1fff", "\u0370", "\u03ff"))
+]
+
+
+def _written(word: str, back: dict[str, str], own: re.Pattern) -> str | None:
+    """A word in another script, or null if a letter of it hasn't that script."""
+    out = []
+    for ch in word:
+        if own.match(ch):
+            out.append(ch)
+            continue
+        base, *marks = unicodedata.normalize("NFD", ch)
+        if base not in back:
+            return None
+        letter = unicodedata.normalize("NFC", back[base] + "".join(marks))
+        if len(letter) > 1:
+            return None
+        out.append(letter)
+    return "".join(out)
+
+
+def restored(form: str) -> str:
+    """A form with its Cyrillic and Greek words in their own letters. Its form is ``form`` again."""
+    for own, back in _SCRIPTS:
+        if not own.search(form):
+            continue
+        words = set(_WORD.findall(form))
+        written = {w: x for w in words if (x := _written(w, back, own)) is not None}
+        sure = {w for w in written if own.search(w)}
+        either = written.keys() - sure
+        latin = sum(w not in written and w[0] < "\u0250" for w in words)
+        known = sure | either if len(sure) > latin else sure
+        form = _WORD.sub(lambda m: written[m[0]] if m[0] in known else m[0], form)
+    return form
+
+
 def shown(markup: str) -> str:
     """What a page shows: without markup, character references resolved."""
     text = MARKUP.sub("", markup)
@@ -155,11 +202,11 @@ def _each(values: pd.Series, markup: bool) -> Iterator[tuple[str | None, str | N
 
 
 def unified(markup: bool = False):
-    """A vectorised function of a text column: its one form."""
+    """A vectorised function of a text column: its one form, in its own scripts."""
 
     @F.pandas_udf("string")
     def form(values: pd.Series) -> pd.Series:
-        return pd.Series([f for _, f in _each(values, markup)], dtype=object)
+        return pd.Series([None if f is None else restored(f) for _, f in _each(values, markup)], dtype=object)
 
     return form
 

@@ -73,3 +73,28 @@ def test_ranks_over_buckets(spark, monkeypatch):
     kinds = spark.createDataFrame([("k", 100)], "container_kind string, capacity_tokens long")
     load = Counter(r.container_no for r in p.packed(sized, kinds).collect())
     assert sum(load.values()) == 500 and max(load.values()) == 3 and len(load) == 167
+
+
+@pytest.mark.parametrize("k", [1, 10, 100])
+def test_plans_grow_with_the_items(k):
+    demand = {400: 6000 * k, 112: 2000 * k, 50: 4000 * k, 3: 3000 * k}
+    plan = p.plan(demand, 512)
+    assert plan.containers == 6000 * k
+    check(plan, demand, 512)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 500), min_size=1, max_size=12))
+def test_every_item_has_a_place(demand):
+    check(p.plan(demand, 64), demand, 64)
+
+
+def check(plan, demand, room):
+    """All ranks of all lengths have a container, and none holds more than its room."""
+    filled = np.zeros(plan.containers, dtype=np.int64)
+    for s, n in demand.items():
+        start, container, each = (np.array(x) for x in zip(*plan.runs[s]))
+        rank = np.arange(n)
+        run = np.searchsorted(start, rank, side="right") - 1
+        np.add.at(filled, container[run] + (rank - start[run]) // each[run], s)
+    assert filled.max() <= room and filled.min() > 0

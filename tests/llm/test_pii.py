@@ -128,3 +128,33 @@ def test_support_stays_and_many_parts_are_joined(spark):
     assert one == two and len(two) == df.count()
     assert {df_id for df_id, (_, k) in two.items() if "person" in k} >= {len(texts) - 8 + i for i in range(4)}
     assert pii.replace(df, many, b"key").columns == [*df.columns, "clean", "kinds"]
+
+
+SAME = [
+    ("+1 415 555 2671", "+14155552671", "(415) 555-2671"),
+    ("+7 912 345 67 89", "+79123456789"),
+    ("+86 138 0013 8000", "13800138000", "138-0013-8000"),
+    ("+44 20 7946 0958", "020 7946 0958", "0044 20 7946 0958"),
+    ("+49 30 23125942", "0049 30 23125942"),
+]
+
+
+@pytest.mark.parametrize("writings", SAME)
+def test_writings_of_a_number_are_linked(writings):
+    numbers = set()
+    for w in writings:
+        clean, found = pii.pseudonymised(f"tel {w} now", NAMES, CIPHER)
+        shown = re.fullmatch(r"tel \[PHONE (.*)\] now", clean)[1]
+        assert found == ["phone"] and len(shown) == len(w) and re.sub(r"\d", "", shown) == re.sub(r"\d", "", w)
+        country, places = pii.phone_parts(shown)
+        numbers.add((country, "".join(shown[i] for i in places)))
+        assert shown != w
+    assert len(numbers) == 1
+
+
+def test_identity_numbers_stay_valid():
+    ids = {f"{a:03d}-{g:02d}-{n:04d}" for a in range(1, 600, 7) for g in (1, 50, 99) for n in range(1, 9999, 97)}
+    ids = {i for i in ids if pii.id_check(i)}
+    moved = {pii.pseudonym("id_number", i, CIPHER)[11:-1] for i in ids}
+    assert len(moved) == len(ids) > 20_000 and all(map(pii.id_check, moved))
+    assert all("3" <= pii.pseudonym("phone", f"138{n:08d}", CIPHER)[8] <= "9" for n in range(0, 10**8, 10**6))

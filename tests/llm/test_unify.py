@@ -99,3 +99,19 @@ def test_queries(spark, tiny):
     rows = texts.p2_found(spark, tiny)
     assert rows.columns == ["src_table", "rec_a", "rec_b"] and rows.count() > 0
     assert rows.where("rec_a >= rec_b").count() == 0
+
+
+def test_scripts_are_kept_in_what_is_given_out():
+    out = lambda t: unify.restored(unify.one_form(t))
+    assert out("Москва столица России") == "Москва столица России"
+    assert out("Mocква") == out("Москва") == "Москва"
+    assert out("Ёлка и ещё оса, её нос") == "Ёлка и ещё оса, её нос"
+    assert out("Ελλάδα και όνομα") == "Ελλάδα και όνομα"
+    assert out("раураl и") == "paypal и" and out("рауpal today") == "paypal today"
+    assert out("The оld café") == "The old café" and out("coco") == out("сосо") == "coco"
+    for t in ("Москва", "The оld и Россия", "Ελλάδα ο", "раураl"):
+        assert unify.one_form(out(t)) == unify.one_form(t) and out(out(t)) == out(t)
+
+
+def test_more_that_cannot_be_seen():
+    assert unify.one_form("a\u034fb") == "ab" and unify.one_form("a\u3164b\u2800c") == "a b c" and unify.one_form("Part ⅳ") == "Part iv"
