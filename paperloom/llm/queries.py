@@ -65,9 +65,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records with real content, with their texts."""
     records = _records(spark, sf_dir)
-    rows = reduce(DataFrame.unionByName, records)
-    bad = residue.cases(rows, residue.learn(records))
-    return rows.where(F.col("text").isNotNull()).join(bad, ["src_table", "rec_id"], "left_anti").select("src_table", "rec_id", "title", "text")
+    return residue.kept(reduce(DataFrame.unionByName, records), residue.learn(records))
 
 
 def p3_validation(spark: SparkSession, sf_dir: str) -> DataFrame:

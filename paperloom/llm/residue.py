@@ -8,15 +8,17 @@ hashed character n-grams, the segment's length, its place (heading, code,
 front matter) and its relation to the record's title. It learns from weak
 labels: a response status or a phrase labels the short record it stands in,
 the shape of a segment that is a label and a placeholder labels residue, and
-records that show their own title label what real text looks like. In longer
-segments it judges the sentence around each placeholder: unfilled slots against
-texts that speak of placeholders.
+records that show their own title label what real text looks like. Residue is
+judged by the sentence around each placeholder: unfilled slots against texts
+that speak of placeholders. Every kind but real text needs a probability that
+was chosen on hosts and phrases the classifier hasn't seen.
 
 A record is a case if a segment is residue, or if it has notices or filler and
 neither its own title as a heading (pages) nor a segment of real text (notes).
 
 Only the fit reads a sample, of at most ``SAMPLE`` records of a table chosen
-by a hash of their keys; every record is scored, over its whole text.
+by a hash of their keys and none beyond ``SAMPLE_CHARS``; every record is
+scored, over its whole text.
 
 Defined results: null or empty texts are no cases; a record delivered more
 than once is a case if one delivery is; ties between kinds go to real text.
@@ -44,6 +46,8 @@ SAMPLE = 4000
 #: Records longer than this are not used for fitting (they are scored).
 SAMPLE_CHARS = 60_000
 BITS = 16
+#: Steps of the fit, at least.
+STEPS = 320
 REAL, RESIDUE, NOTICE, FILLER = range(4)
 KINDS = ("real", "residue", "notice", "filler")
 
@@ -83,6 +87,9 @@ FILLER_PHRASES = ("Lorem ipsum dolor sit amet.", "Text goes here. Text goes here
 NOTATIONS = ("{{title}}", "{{author|wikilink}}", "{% for tag in tags %}{{tag}}{% endfor %}", "<%= title %>", "%%TITLE%%", "%TITLE%", "${title}", "{$title}", "#{title}", "@@TITLE@@", "{0}", "__TITLE__", "[INSERT TITLE HERE]", "[Your name]", "[object Object]", "undefined")
 SLOTS = ("{}", "{}.", "By {}", "Title: {}", "Hello {},", "Read more about {}", "{} – {}", "Dear {}, here is your clip.")
 
+# Names of fields that are shown with their value.
+FIELDS = "Author By Source Date Summary Tags Published Updated Category Site Section Autor Von Quelle Datum Zusammenfassung Auteur Par Résumé Publié 作者 来源 日期 摘要 标签 发布于".split()
+
 # Sentences with unfilled slots, sentences that speak of placeholders, and words of the latter.
 LONG_SLOTS = (
     "This article was written by {} and published on {} in the weekly edition of {}.", "Published on {} by {}, updated on {} by our editorial team.", "Thank you for subscribing to {}; your next issue arrives on {}.",
@@ -203,9 +210,9 @@ _STOP = re.compile(r"[.!?…](?=[\"'”’»)\]]*\s)|[。！？\n]")
 
 
 def slots(seg: Segment) -> list[Segment]:
-    """The sentence around each placeholder of a segment that isn't ``slot_shaped``:
-    without the record's title, and not those placeholders that are the title's own."""
-    if seg.place == "code" or seg.titled == 2 or slot_shaped(seg):
+    """The sentence around each placeholder of a segment: without the record's
+    title, and not those placeholders that are the title's own."""
+    if seg.place == "code" or seg.titled == 2:
         return []
     text = seg.text
     if seg.title and len(low := _plain(text)) == len(text):
@@ -241,7 +248,7 @@ def told(text: str) -> bool:
 
 def slot_label(seg: Segment) -> int | None:
     """What the words around a placeholder suggest."""
-    return RESIDUE if slot_shaped(seg) and PLACEHOLDER.search(seg.text) else REAL if MENTION.search(seg.text) else None
+    return RESIDUE if slot_shaped(seg) else REAL if MENTION.search(seg.text) else None
 
 
 def emptied(text: str, seed: int, mark: str) -> str | None:
@@ -337,6 +344,14 @@ def hash_of(*key) -> int:
 class Model:
     weights: np.ndarray  # kinds x features
     bias: np.ndarray
+    #: The least probability of each kind but real text.
+    least: tuple[float, ...] = (0.0, 0.5, 0.5, 0.5)
+
+    def kinds(self, segments: Sequence[Segment]) -> np.ndarray:
+        """The likeliest kind that is likely enough, else real text."""
+        p = self.scores(segments)
+        p[:, 1:][p[:, 1:] < np.array(self.least[1:])] = -1.0
+        return p.argmax(axis=1)
 
     def scores(self, segments: Sequence[Segment]) -> np.ndarray:
         """Probabilities, segments x kinds."""
@@ -348,7 +363,7 @@ class Model:
         return raw / raw.sum(axis=1, keepdims=True)
 
 
-def fit(segments: Sequence[Segment], labels: Sequence[int], steps: int = 320, batch: int = 192, rate: float = 0.6, decay: float = 1e-5, seed: int = 7) -> Model:
+def fit(segments: Sequence[Segment], labels: Sequence[int], steps: int = STEPS, batch: int = 192, rate: float = 0.6, decay: float = 1e-5, seed: int = 7) -> Model:
     """Softmax regression by Adagrad with weight decay; kinds weigh equally."""
     weights, bias = np.zeros((len(KINDS), 1 << BITS)), np.zeros(len(KINDS))
     y = np.asarray(labels)
@@ -381,19 +396,18 @@ def fit(segments: Sequence[Segment], labels: Sequence[int], steps: int = 320, ba
 
 def judged(model: Model, records: Sequence[Sequence[Segment]]) -> list[np.ndarray]:
     """The kind of each segment of each record; links and code count as real.
-    Residue in longer segments is told by the sentences around the placeholders."""
+    Residue is told by the sentences around the placeholders."""
     flat = [s for segments in records for s in segments if s.place not in ("link", "code")]
     around = [slots(s) if PLACEHOLDER.search(s.text) or BARE.search(s.text) else [] for s in flat]
-    p = model.scores(flat)
-    slot = iter(model.scores([x for own in around for x in own]).argmax(axis=1).tolist())
-    # ties go to real text, the first kind
-    best, at, kinds = p.argmax(axis=1), 0, []
-    unfilled = [any([next(slot) == RESIDUE for _ in own]) for own in around]
+    best = model.kinds(flat)
+    slot = iter((model.kinds([x for own in around for x in own]) == RESIDUE).tolist())
+    unfilled = [any([next(slot) for _ in own]) for own in around]
+    at, kinds = 0, []
     for segments in records:
         own = np.zeros(len(segments), dtype=int)
         for i, s in enumerate(segments):
             if s.place not in ("link", "code"):
-                own[i] = RESIDUE if unfilled[at] else REAL if around[at] and best[at] == RESIDUE else best[at]
+                own[i] = RESIDUE if unfilled[at] else REAL if best[at] == RESIDUE else best[at]
                 at += 1
         kinds.append(own)
     return kinds
@@ -415,8 +429,7 @@ def replaced(segments: Sequence[Segment], kinds: Sequence[int], page: bool) -> b
 
 
 def is_case(segments: Sequence[Segment], kinds: Sequence[int], page: bool) -> bool:
-    # residue by the classifier, checked: there is a placeholder, in no code and not the title's own
-    return any(k == RESIDUE and (slot_shaped(s) or slots(s)) for s, k in zip(segments, kinds)) or replaced(segments, kinds, page)
+    return any(k == RESIDUE for k in kinds) or replaced(segments, kinds, page)
 
 
 def _segments(kind: str, text: str | None, title: str | None) -> list[Segment]:
@@ -446,9 +459,9 @@ def labelled(records: DataFrame) -> DataFrame:
                 segments = _segments(kind, _text(text), _text(title))
                 for i, (s, (label, tells)) in enumerate(zip(segments, weak_labels(segments))):
                     if label is not None and (label != REAL or tells or hash_of(rec, i) % 8 == 0):
-                        rows.append((_text(host) or "", s.text[:4000], s.place, s.titled, label))
+                        rows.append((_text(host) or "", s.text, s.place, s.titled, label))
                     if s.place != "link" and (PLACEHOLDER.search(s.text) or BARE.search(s.text)):
-                        rows += [(_text(host) or "", x.text[:4000], x.place, x.titled, k) for x in slots(s) if (k := slot_label(x)) is not None]
+                        rows += [(_text(host) or "", x.text, x.place, x.titled, k) for x in slots(s) if (k := slot_label(x)) is not None]
             yield pd.DataFrame(rows, columns=["host", "segment", "place", "titled", "label"])
 
     return records.select("rec_id", "kind", "host", "title", "text").mapInPandas(parts, "host string, segment string, place string, titled int, label int")
@@ -463,6 +476,7 @@ def phrases() -> tuple[list[Segment], list[int]]:
     pairs = [(Segment(one_form(t), place, 0), k) for k, texts in told.items() for t in texts for place in ("text", "heading", *["meta"] * (k == RESIDUE))]
     around = [(Segment(one_form(t.replace("{}", n)), "slot", 0), k) for k, texts in ((RESIDUE, (*SLOTS, *LONG_SLOTS)), (REAL, MENTIONS)) for n in (NOTATIONS[0], "undefined", "null", "NaN") for t in texts] * 4
     pairs += around
+    pairs += [(Segment(one_form(t.format(f, w)), "slot", 0), RESIDUE) for f in FIELDS for w in ("undefined", "null", "NaN") for t in ("{0}: {1}", "{0} {1}", "{0}：{1}", "{0}: {1} / {1}", "{1}")]
     return [s for s, _ in pairs], [k for _, k in pairs]
 
 
@@ -477,16 +491,57 @@ def gathered(records: Sequence[DataFrame], bound: int) -> list:
     return [(r, REAL if r.label == NOTICE and 8 * real[t] > odd[t] else r.label) for t, r in zip(plain, rows)]
 
 
-def _fitted(rows: list) -> Model:
+def _unseen(key: str, part: int = 4) -> bool:
+    return hash_of("host", key) % part == 0
+
+
+def _examples(rows: list) -> tuple[list[Segment], list[int], np.ndarray]:
+    """Segments with their labels, and which are kept back: those of every
+    fourth host, and every fourth phrase in all its places."""
     segments, labels = phrases()
+    apart = [_unseen(s.text) for s in segments]
     for r, label in rows:
-        seed = hash_of(r.segment)
+        seed, own = hash_of(r.segment), _unseen(r.host)
+        segments.append(Segment(r.segment, r.place, r.titled))
+        labels.append(label)
+        apart.append(own)
         if label == REAL and r.place == "text" and seed % 2 and not (PLACEHOLDER.search(r.segment) or BARE.search(r.segment)) and emptied(r.segment, 0, ""):
             # within prose, null and the like are words
             for mark, k in (("{{title}}", RESIDUE), (("undefined", "null", "NaN")[seed % 3], REAL)):
                 segments.append(Segment(emptied(r.segment, seed, mark), "slot", 0))
                 labels.append(k)
-    return fit([Segment(r.segment, r.place, r.titled) for r, _ in rows] + segments, [label for _, label in rows] + labels)
+                apart.append(own)
+    return segments, labels, np.array(apart, dtype=bool)
+
+
+def least_likely(p: np.ndarray, labels: np.ndarray, kind: int) -> float:
+    """The probability from which on segments are of a kind: the best by the
+    F measure on labelled ones, the middle of the best range; a half where none has the kind."""
+    true = labels == kind
+    if not true.any():
+        return 0.5
+    steps = np.linspace(0.2, 0.9, 71)
+    score = np.array([2 * ((p >= t) & true).sum() / max(1, (p >= t).sum() + true.sum()) for t in steps])
+    best = np.flatnonzero(score >= score.max() - 1e-12)
+    # of the runs of best steps that nearest to a half
+    run = min(np.split(best, np.flatnonzero(np.diff(best) > 1) + 1), key=lambda r: int(np.abs(r - 30).min()))
+    return 0.5 if run[0] <= 30 <= run[-1] else float(steps[run].mean())
+
+
+def _fitted(rows: list) -> Model:
+    return _fitted_on(*_examples(rows))
+
+
+def _fitted_on(segments: Sequence[Segment], labels: Sequence[int], apart: np.ndarray, whole: bool = True) -> Model:
+    """With the probabilities that suit the examples kept back from a first fit; ``whole``: then fitted on all."""
+    y, seen, unseen = np.array(labels), np.flatnonzero(~apart), np.flatnonzero(apart)
+    model = fit([segments[i] for i in seen], y[seen], steps=STEPS // 2 if whole else STEPS)
+    p = model.scores([segments[i] for i in unseen])
+    around = np.array([segments[i].place == "slot" for i in unseen], dtype=bool)
+    least = (0.0, least_likely(p[around, RESIDUE], y[unseen][around], RESIDUE), *(least_likely(p[~around, k], y[unseen][~around], k) for k in (NOTICE, FILLER)))
+    model = fit(segments, y) if whole else model
+    model.least = least
+    return model
 
 
 def learn(records: Sequence[DataFrame], bound: int = SAMPLE) -> Model:
@@ -494,30 +549,41 @@ def learn(records: Sequence[DataFrame], bound: int = SAMPLE) -> Model:
     return _fitted(gathered(records, bound))
 
 
-def cases(records: DataFrame, model: Model) -> DataFrame:
-    """The records (``src_table, rec_id, kind, title, text``) that are cases."""
-    shared = records.sparkSession.sparkContext.broadcast((model.weights, model.bias))
+def _scored(records: DataFrame, model: Model, columns: Sequence[str], wanted: bool) -> DataFrame:
+    """The columns of those records that are cases, or of those that aren't."""
+    shared = records.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.least))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         here = Model(*shared.value)
         for b in batches:
             each = [_segments(kind, _text(text), _text(title)) for kind, title, text in zip(b["kind"], b["title"], b["text"])]
             kinds = judged(here, each)
-            hit = [is_case(segments, own, kind == "page") for kind, segments, own in zip(b["kind"], each, kinds)]
-            yield b.loc[np.array(hit, dtype=bool), ["src_table", "rec_id"]]
+            hit = [is_case(segments, own, kind == "page") == wanted for kind, segments, own in zip(b["kind"], each, kinds)]
+            yield b.loc[np.array(hit, dtype=bool), list(columns)]
+
+    types = dict(records.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in columns)
+    return records.select("src_table", "rec_id", "kind", "title", "text").where(F.col("text").isNotNull()).mapInPandas(score, schema)
+
+
+def cases(records: DataFrame, model: Model) -> DataFrame:
+    """The keys of the records (``src_table, rec_id, kind, title, text``) that are cases."""
+    return _scored(records, model, ("src_table", "rec_id"), True).distinct()
+
 
-    return records.select("src_table", "rec_id", "kind", "title", "text").where(F.col("text").isNotNull()).mapInPandas(score, "src_table string, rec_id long").distinct()
+def kept(records: DataFrame, model: Model) -> DataFrame:
+    """The records with a text that are no cases: ``src_table, rec_id, title,
+    text``, every delivery, in one pass and without moving texts."""
+    return _scored(records, model, ("src_table", "rec_id", "title", "text"), False)
 
 
-def validate(records: Sequence[DataFrame], bound: int = SAMPLE, part: int = 4) -> dict[str, float]:
-    """Agreement with the weak labels on hosts the classifier hasn't seen."""
-    rows = gathered(records, bound)
-    unseen = lambda r: hash_of("host", r.host) % part == 0
-    train, test = [x for x in rows if not unseen(x[0])], [x for x in rows if unseen(x[0])]
-    model = _fitted(train)
-    guess = model.scores([Segment(r.segment, r.place, r.titled) for r, _ in test]).argmax(axis=1)
-    label = np.array([label for _, label in test])
-    found = {"n_train": float(len(train)), "n_test": float(len(test)), "accuracy": float((guess == label).mean())}
+def validate(records: Sequence[DataFrame], bound: int = SAMPLE) -> dict[str, float]:
+    """Agreement with the weak labels on hosts and phrases the classifier hasn't seen."""
+    segments, labels, apart = _examples(gathered(records, bound))
+    model = _fitted_on(segments, labels, apart, whole=False)
+    test = [s for s, a in zip(segments, apart) if a]
+    guess, label = model.kinds(test), np.array(labels)[apart]
+    found = {"n_train": float((~apart).sum()), "n_test": float(apart.sum()), "accuracy": float((guess == label).mean())}
     for k, name in enumerate(KINDS):
         found[f"recall_{name}"] = float((guess[label == k] == k).mean()) if (label == k).any() else 1.0
         found[f"precision_{name}"] = float((label[guess == k] == k).mean()) if (guess == k).any() else 1.0

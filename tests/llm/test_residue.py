@@ -89,3 +89,31 @@ def test_slots_in_long_segments(model):
     assert [(t, g) for (t, want), g in zip(LONG, got) if g != want] == []
     own = r.page_segments(PAGE.format(t="The {{title}} variable", a="Home › Help › The {{title}} variable", b=PROSE), "The {{title}} variable")
     assert not r.is_case(own, r.judged(model, [own])[0], True)
+
+
+def test_phrases_it_was_not_told(monkeypatch):
+    """Phrases and notations taken out of the lists are still found."""
+    monkeypatch.setattr(r, "SCRIPT_PHRASES", tuple(t for t in r.SCRIPT_PHRASES if "needs" not in t and "Anwendung" not in t and "nécessite" not in t))
+    monkeypatch.setattr(r, "LONG_SLOTS", tuple(t for t in r.LONG_SLOTS if "written" not in t and "geschrieben" not in t))
+    monkeypatch.setattr(r, "FIELDS", [f for f in r.FIELDS if f not in ("Source", "Datum")])
+    model = r._fitted([])
+    notices = ["This app needs JavaScript.", "Diese Anwendung braucht JavaScript.", "Cette application nécessite JavaScript."]
+    assert [t for t in notices if model.kinds([r.Segment(t, "text", 0)])[0] != r.NOTICE] == []
+    slots = ["This article was written by ◆ and published on ◆.", "Source: undefined", "Datum: null"]
+    assert [t for t in slots if model.kinds([r.Segment(t, "slot", 0)])[0] != r.RESIDUE] == []
+    real = ["In the template, ◆ is replaced by the heading of the page.", "Die Variable ◆ steht für den Titel."]
+    assert [t for t in real if model.kinds([r.Segment(t, "slot", 0)])[0] != r.REAL] == []
+
+
+def test_probability_from_unseen_examples():
+    p, labels = np.array([0.9, 0.8, 0.7, 0.65, 0.3, 0.1]), np.array([1, 1, 1, 0, 0, 0])
+    assert 0.65 < r.least_likely(p, labels, 1) <= 0.7 and r.least_likely(p, labels, 2) == 0.5
+    assert r.least_likely(np.array([0.9, 0.1]), np.array([1, 0]), 1) == 0.5
+
+
+def test_kept_are_the_others(spark, model):
+    rows = [("t", i, "page" if k == "page" else "note", t, x, "clash") for i, (k, t, x, _) in enumerate(CASES)]
+    df = spark.createDataFrame(rows, "src_table string, rec_id long, kind string, title string, text string, label string")
+    out = r.kept(df, model)
+    assert out.columns == ["src_table", "rec_id", "title", "text"]
+    assert sorted(x.rec_id for x in out.collect()) == [i for i, c in enumerate(CASES) if not c[3] and c[2] is not None]
