@@ -25,8 +25,29 @@ def parsed(s: Column, pattern: str | None = None) -> Column:
         return F.try_to_timestamp(s, F.lit(java))
     iso = F.when(s.rlike(r"^\d{4}(-\d{1,2}(-\d{1,2}([T ]\d{1,2}:\d{2}(:\d{2}([.,]\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})?)?)?)?$"), s.try_cast("timestamp"))
     slashed = F.when(s.rlike(r"^\d{4}/\d{1,2}/\d{1,2}"), F.regexp_replace(s, "/", "-").try_cast("timestamp"))
-    named = F.when(s.rlike(r"^[A-Z][a-z]{2,8} \d{1,2}, \d{4}$"), F.coalesce(F.try_to_timestamp(s, F.lit("MMMM d, yyyy")), F.try_to_timestamp(s, F.lit("MMM d, yyyy"))))
-    return F.coalesce(iso, slashed, named)
+    return F.coalesce(iso, slashed, *(_named(s, day, order) for day, order in _NAMED))
+
+
+_MONTH, _YEAR = r"([A-Za-z]{3})[a-z]*\.?", r"(\d{4})"
+_REST = r"(?:,?\s+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([AaPp][Mm])?)?\s*(GMT|UTC|Z|[+-]\d{2}:?\d{2})?$"
+#: Days with the month's name, and which groups hold year, month and day.
+_NAMED = (
+    (rf"^(?:[A-Z][a-z]{{2,8}},?\s+)?{_MONTH}\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+{_YEAR}", (3, 1, 2)),
+    (rf"^(?:[A-Z][a-z]{{2,8}},?\s+)?(\d{{1,2}})(?:st|nd|rd|th)?\s+{_MONTH},?\s+{_YEAR}", (3, 2, 1)),
+)
+
+
+def _named(s: Column, day: str, order: tuple[int, int, int]) -> Column:
+    """The time of a text that names its month, at midnight without a clock and in its own zone if it has one."""
+    shape = day + _REST
+    part = lambda i: F.regexp_extract(s, shape, i)
+    number = lambda i: F.coalesce(part(i).try_cast("int"), F.lit(0))
+    half, zone = F.lower(part(7)), F.regexp_replace(F.regexp_replace(part(8), "^(GMT|UTC|Z)$", "+0000"), ":", "")
+    hour = F.when(half == "", number(4)).otherwise(number(4) % 12 + F.when(half == "pm", 12).otherwise(0))
+    clock = F.concat_ws(":", *(F.lpad(x.cast("string"), 2, "0") for x in (hour, number(5), number(6))))
+    written = F.concat_ws(" ", part(order[0]), F.initcap(part(order[1])), part(order[2]), clock)
+    at = F.when(zone == "", F.try_to_timestamp(written, F.lit("yyyy MMM d HH:mm:ss"))).otherwise(F.try_to_timestamp(F.concat_ws(" ", written, zone), F.lit("yyyy MMM d HH:mm:ss xx")))
+    return F.when(s.rlike(shape), at)
 
 
 def _parts(pattern: str) -> list[str]:

@@ -66,7 +66,24 @@ def _capital(w: Column, rest_lower: bool = True) -> Column:
     return F.concat(F.upper(w.substr(1, 1)), F.lower(tail) if rest_lower else tail)
 
 
-register("capitalize", lambda v, args: each(v, lambda w: _capital(w)))
+def _unquoted(raw: Column) -> Column:
+    """The text of a JSON value."""
+    return F.get(F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "array<string>"), 0)
+
+
+@register("capitalize")
+def capitalize(v: Val, args: Sequence) -> Val:
+    out = each(v, lambda w: _capital(w))
+    if out.kind == "list":
+        return out
+    # keys and texts of an object, other values as they are
+    s = text(v)
+    m = raw_map(s)
+    value = lambda raw: F.when(raw.startswith('"'), raw_text(_capital(_unquoted(raw)))).otherwise(raw)
+    made = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(raw_text(_capital(e["key"])), F.lit(":"), value(e["value"]))), ","), F.lit("}"))
+    return Val(F.when(m.isNotNull(), made).otherwise(out.col))
+
+
 register("pascal", _texts(lambda s: F.array_join(F.transform(F.split(s, f"(?:{BLANK}|[_-])+(?=.)"), lambda w: _capital(w, False)), "")))
 
 
@@ -112,9 +129,12 @@ def replace(v: Val, args: Sequence) -> Val:
             if "g" in m[2]:
                 s = F.regexp_replace(s, pattern, _java_replacement(_escapes(new)))
             else:
-                # only the first match; the text before it is a group of its own
-                new = re.sub(r"\$(\d)", lambda d: f"${int(d[1]) + 1}", new)
-                s = F.regexp_replace(s, f"(?s)^((?-s:{'(?' + flags + ')' if flags else ''}(?:(?!{m[1]})[\\s\\S])*+))(?:{m[1]})", "$1" + _java_replacement(_escapes(new)))
+                # only the first match: the text before it is a group of its own, then come those of the
+                # pattern that must not match earlier, the match, and its groups
+                groups = len(re.findall(r"(?<!\\)(?:\\\\)*\((?!\?(?!<[A-Za-z]))", m[1]))
+                one = f"(?{flags}:{m[1]})"
+                new = re.sub(r"\$([\d&])", lambda d: f"${groups + 2 + (0 if d[1] == '&' else int(d[1]))}", _escapes(new))
+                s = F.regexp_replace(s, f"^((?:(?!{one})[\\s\\S])*+)({one})", "$1" + _java_replacement(new))
             continue
         search, new = _escapes(search), _escapes(new)
         if "|" in search and search != "|" and not re.search(r"[\n\r\t]", search):
@@ -155,7 +175,24 @@ def _quoted(s: Column) -> Column:
     return F.array_join(F.transform(F.split(s, "\n", -1), lambda x: F.concat(F.lit("> "), x)), "\n")
 
 
-register("blockquote", lambda v, args: Val(over_list(v, lambda a: F.array_join(F.transform(a, _quoted), "\n"), _quoted)))
+#: Lists in lists are quoted to this depth, as Markdown indents them; deeper ones stay JSON.
+QUOTED = 5
+
+
+@register("blockquote")
+def blockquote(v: Val, args: Sequence) -> Val:
+    def nested(raws: Column, depth: int) -> Column:
+        def one(raw: Column) -> Column:
+            plain = F.when(raw.rlike(r"^[\[{]"), raw).otherwise(_unquoted(raw))
+            quoted = F.array_join(F.transform(F.split(plain, "\n", -1), lambda x: F.concat(F.lit("> " * depth), x)), "\n")
+            return F.when(raw.startswith("["), nested(raw_list(raw), depth + 1)).otherwise(quoted) if depth < QUOTED else quoted
+
+        return F.array_join(F.transform(raws, one), "\n")
+
+    if v.kind == "list":
+        return Val(nested(F.transform(v.col, lambda x: F.when(x.rlike(r"^\s*\["), x).otherwise(raw_text(x))), 1))
+    s = text(v)
+    return Val(F.when(raw_list(s).isNotNull(), nested(raw_list(s), 1)).otherwise(_quoted(s)))
 
 
 @register("callout")
@@ -292,7 +329,12 @@ def table(v: Val, args: Sequence) -> Val:
             )
         else:
             plain = F.concat_ws("\n", F.lit("| Value |\n| - |"), F.array_join(F.transform(arr, lambda x: row(F.array(cell(F.coalesce(x, F.lit("null")))))), "\n"))
-        return F.when(first.rlike(r"^\s*\{"), objects).otherwise(plain)
+        # lists in a list: the places of the first are the columns
+        inner = lambda x: F.coalesce(json_list(x), F.array())
+        places = F.array(*map(F.lit, heads)) if heads else F.transform(inner(first), lambda _, i: i.cast("string"))
+        at = lambda x, k: F.lit(None).cast("string") if heads else F.get(inner(x), k.cast("int"))
+        lists = F.concat_ws("\n", row(places), row(F.transform(places, lambda k: F.lit("-"))), F.array_join(F.transform(arr, lambda x: row(F.transform(places, lambda k: known(at(x, k))))), "\n"))
+        return F.when(first.rlike(r"^\s*\{"), objects).when(first.rlike(r"^\s*\["), lists).otherwise(plain)
 
     def of_map(s: Column) -> Column:
         entries = F.map_entries(json_map(s))

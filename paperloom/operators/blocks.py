@@ -93,9 +93,15 @@ def as_markdown(lines: DataFrame, doc: str, order: str, line: str) -> DataFrame:
 
 
 def comment_callouts(comments: DataFrame, doc: str = "doc_token", key: str = "comment_id") -> DataFrame:
-    """Comments on a document as callouts, solved ones marked, replies below."""
-    said = F.array_join(F.transform(F.coalesce("replies", F.array()), lambda r: F.concat(F.lit("> **"), F.coalesce(r["user_open_id"], F.lit("匿名")), F.lit("**: "), F.replace(F.coalesce(r["reply_text"], F.lit("")), F.lit("\n"), F.lit("\n> ")))), "\n")
-    head = F.concat(F.lit("> [!"), F.when(F.coalesce("is_solved", F.lit(False)), "success").otherwise("quote"), F.lit("]"), F.when(F.coalesce("is_whole", F.lit(False)), " document").otherwise(""))
-    one = F.concat_ws("\n", head, F.nullif(said, F.lit("")))
+    """The comments on a document as folding callouts, solved ones marked, with
+    their replies below; comments nobody wrote in have none."""
+    nobody = "匿名"
+    who = lambda r: F.coalesce(r["user_open_id"], F.lit(nobody))
+    said = lambda r: F.when(F.coalesce(r["reply_text"], F.lit("")) != "", F.concat(F.lit("\n> "), F.replace(r["reply_text"], F.lit("\n"), F.lit("\n> ")))).otherwise("")
+    head = F.concat(F.lit("> [!"), F.when(F.coalesce("is_solved", F.lit(False)), "success").otherwise("quote"), F.lit("]+ "))
+    thread = F.transform("replies", lambda r, i: F.concat(F.when(i == 0, F.concat(head, who(r), F.lit(" · "), F.coalesce("create_time", F.lit("")))).otherwise(F.concat(F.lit(">\n> **"), who(r), F.lit("**"))), said(r)))
+    one = F.when(F.size("replies") > 0, F.array_join(thread, "\n"))
     g = comments.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), one.alias("t")))).alias("_c"))
-    return g.select(doc, F.array_join(F.transform("_c", lambda c: c["t"]), "\n\n").alias("markdown"), F.size("_c").cast("long").alias("n_comments"))
+    threads = F.transform(F.filter("_c", lambda c: c["t"].isNotNull()), lambda c: c["t"])
+    text = F.when(F.size(threads) > 0, F.concat(F.lit("---\n\n## 评论\n\n"), F.array_join(threads, "\n\n"))).otherwise("")
+    return g.select(doc, text.alias("markdown"), F.size("_c").cast("long").alias("n_comments"))

@@ -19,20 +19,38 @@ def amount(text: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")).contains("万"), digits * 10000).otherwise(digits)
 
 
-# Emission standards by the numeral that names them; six is looked for before five.
-EMISSION = (("六|6|VI(?!I)", "国六"), ("五|5|(?<![IV])V(?!I)", "国五"), ("四|4|IV", "国四"), ("三|3|III", "国三"), ("二|2|(?<!I)II(?!I)", "国二"))
+_BLANKS = r"[\s\u00a0]"
+# Emission standards by their numerals, in the order in which they are looked for (six holds the sign of five).
+EMISSION = (("国三", "三|3|III"), ("国四", "四|4|IV"), ("国六", "六|6|VI|Ⅵ"), ("国五", "五|5|V|Ⅴ"))
+# How a lot is said to be mortgaged or not.
+MORTGAGED, FREE = ("是", "已抵押", "有抵押", "有"), ("否", "未抵押", "无抵押", "无")
 
 
 def emission_standard(text: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for pattern, name in reversed(EMISSION):
-        out = F.when(text.rlike(rf"(?:国|排放)[^，。\n]{{0,4}}(?:{pattern})"), name).otherwise(out)
-    return out
+    """The standard's plain name; other texts as they are, null as the empty text."""
+    plain = F.regexp_replace(text, r"[\s\u00a0（）()]", "")
+    named = F.coalesce(*(F.when(plain.rlike(f"国({numeral})"), name) for name, numeral in EMISSION))
+    return F.coalesce(named, F.trim(text), F.lit(""))
+
+
+def mortgage(said: Column) -> Column:
+    """是 or 否, and 未知 for whatever says neither."""
+    plain = F.regexp_replace(said, r"[\s\u00a0；;]+", "")
+    return F.when(plain.isin(*MORTGAGED), "是").when(plain.isin(*FREE), "否").otherwise("未知")
+
+
+def mortgage_in(text: Column) -> Column:
+    """What a longer text says of a mortgage behind that label."""
+    plain = F.regexp_replace(text, _BLANKS, "")
+    return mortgage(F.regexp_extract(plain, r"(?:是否)?抵押[:：]([^（(；;<]+?)(?=[（(；;]|\d+[、.]|其他|$)", 1))
 
 
-def mortgage(text: Column) -> Column:
-    """Whether a lot is mortgaged, as far as it is said."""
-    return F.when(text.rlike("(?:无|未|没有)[^，。\n]{0,6}抵押|未见抵押"), "无").when(text.contains("抵押"), "有")
+def normal_day(text: Column) -> Column:
+    """A text that is a day as year-month-day, anything else as the empty text."""
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), _BLANKS, "")
+    shape = r"^(\d{4})(?:[/\-.](\d{1,2})[/\-.](\d{1,2})|年(\d{1,2})月(\d{1,2})日?)$"
+    part = lambda i, j: F.lpad(F.concat(F.regexp_extract(plain, shape, i), F.regexp_extract(plain, shape, j)), 2, "0")
+    return F.when(plain.rlike(shape), F.concat_ws("-", F.regexp_extract(plain, shape, 1), part(2, 4), part(3, 5))).otherwise("")
 
 
 def plain_date(text: Column) -> Column:
@@ -55,33 +73,45 @@ def years_since(day: Column, until: Column) -> Column:
     return F.format_string("%.1f", F.datediff(until, day) / 365.25)
 
 
-#: Ways a notice of fines says them: count, points, amount.
-FINES = (r"违章\s*(\d+)\s*次[^\d]{0,6}扣\s*(\d+)\s*分[^\d]{0,6}罚款\s*(\d+)\s*元", r"(\d+)\s*条违[章法][^\d]{0,12}(\d+)\s*分[^\d]{0,6}(\d+)\s*元", r"未处理\s*(\d+)\s*[起宗][^\d]{0,12}记\s*(\d+)\s*分[^\d]{0,8}(\d+)\s*元")
+# How fines are counted (起), with points (分) and amount (元), without points, and alone.
+FINES = ((r"(\d+)起[，,]?(\d+)分[，,]?(\d+)元", "[；;]?", (0, 1, 2)), (r"(\d+)起[，,]?(\d+)元", "[；;]?", (0, 2)), (r"(\d+)起[；;]", "", (0,)))
 
 
 def fines(text: Column) -> Column:
     """Counts, points and amounts of all fines summed; each way of saying them is looked for in what the ones before left."""
     total = [F.lit(0).cast("long")] * 3
-    rest = text
-    for pattern in FINES:
-        for g in range(3):
-            found_ = F.regexp_extract_all(rest, F.lit(pattern), F.lit(g + 1))
-            total[g] = total[g] + F.aggregate(F.transform(found_, lambda x: F.coalesce(x.try_cast("bigint"), F.lit(0))), F.lit(0).cast("long"), lambda a, b: a + b)
-        rest = F.regexp_replace(rest, pattern, "")
+    rest = F.regexp_replace(F.coalesce(text, F.lit("")), _BLANKS, "")
+    for pattern, tail, which in FINES:
+        for group, i in enumerate(which):
+            numbers = F.transform(F.regexp_extract_all(rest, F.lit(pattern), F.lit(group + 1)), lambda x: F.coalesce(x.try_cast("bigint"), F.lit(0)))
+            total[i] = total[i] + F.aggregate(numbers, F.lit(0).cast("long"), lambda a, b: a + b)
+        rest = F.regexp_replace(rest, pattern + tail, "")
     return F.struct(total[0].alias("n"), total[1].alias("points"), total[2].alias("amount"))
 
 
-def fee_total(text: Column, label: str = "(?:停车|拖车|保管)费", total: str = "(?:共计|合计)") -> Column:
-    """Fees summed; a stated total stands for the fees of its sentence."""
-    money = r"[^\d，。]{0,6}([\d.]+)\s*元"
-    sentences = F.split(text, "[。；;\n]")
+_MONEY = r"(\d+(?:\.\d+)?)\s*元"
+# Words that lead to a total, and how far before and after it its parts are named.
+_TOTAL, PARTS_BEFORE, PARTS_AFTER = r"(?:车辆的费用)?(?:共|合|总)计(?:约|费用)?[：:]?\s*" + _MONEY, 100, 150
+
+
+def _placed(text: Column, pattern: str) -> Column:
+    """All matches of a pattern with a number in its group: their value and where they begin."""
+    pieces, whole, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    size = lambda parts, n: F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda a, x: a + F.length(x))
+    return F.transform(values, lambda v, i: F.struct(v.cast("double").alias("value"), (size(pieces, i + 1) + size(whole, i)).alias("at")))
+
+
+def fee_amounts(text: Column) -> Column:
+    """The fees a text names: its totals, then the amounts that are no part of one, which stand near it."""
+    text = F.coalesce(text, F.lit(""))
+    fees, totals = _placed(text, _MONEY), _placed(text, _TOTAL)
+    part = lambda f, t: ((f["at"] < t["at"]) & (t["at"] - f["at"] < PARTS_BEFORE)) | ((f["at"] > t["at"]) & (f["at"] - t["at"] < PARTS_AFTER))
+    alone = F.filter(fees, lambda f: ~F.exists(totals, lambda t: part(f, t)))
+    return F.transform(F.concat(totals, alone), lambda x: x["value"])
 
-    def one(s: Column) -> Column:
-        whole = found(s, total + money).try_cast("double")
-        parts = F.transform(F.regexp_extract_all(s, F.lit(label + money), F.lit(1)), lambda x: F.coalesce(x.try_cast("double"), F.lit(0.0)))
-        return F.when(s.rlike(label), F.coalesce(whole, F.aggregate(parts, F.lit(0.0), lambda a, b: a + b))).otherwise(0.0)
 
-    return F.aggregate(F.transform(sentences, one), F.lit(0.0), lambda a, b: a + b)
+def fee_total(text: Column) -> Column:
+    return F.aggregate(fee_amounts(text), F.lit(0.0), lambda a, b: a + b)
 
 
 def total_price(price: Column, fees: Sequence[Column]) -> Column:

@@ -24,12 +24,20 @@ def in_none(cues: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
     return cues.join(found.select(*key).distinct(), key, "left_anti")
 
 
-def as_markdown(cues: DataFrame, by: str, chapter: str, at: str, content: str) -> DataFrame:
-    """Per recording: a heading for each chapter and its cues in their order."""
-    chapters = cues.groupBy(by, chapter).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("a"), F.col(content).alias("c")))).alias("_q"))
-    body = F.concat(F.lit("## "), F.col(chapter), F.lit("\n\n"), F.array_join(F.transform("_q", lambda q: q["c"]), "\n"))
-    one = F.struct(F.get("_q", 0)["a"].alias("a"), F.col(chapter).alias("k"), body.alias("b"))
-    return chapters.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["b"]), "\n\n").alias("markdown"))
+#: Fixed value: the heading of what no chapter holds.
+LEFTOVERS = "其他片段"
+
+
+def as_markdown(cues: DataFrame, by: str, chapter: str, at: str, content: str, seconds: str | None = None) -> DataFrame:
+    """Per recording: a heading for each chapter and its cues in their order
+    (``at``) with the time at which they begin (``seconds``, else ``at``). Cues
+    of no chapter (null) come last; without any chapter there is no heading."""
+    line = F.concat(F.lit("- `"), clock(F.col(seconds or at)), F.lit("` "), F.coalesce(F.col(content), F.lit("")))
+    chapters = cues.groupBy(by, chapter).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("a"), line.alias("c")))).alias("_q"))
+    one = F.struct(F.col(chapter).isNull().alias("rest"), F.get("_q", 0)["a"].alias("a"), F.col(chapter).alias("k"), F.array_join(F.transform("_q", lambda q: q["c"]), "\n").alias("b"))
+    parts = chapters.groupBy(by).agg(F.array_sort(F.collect_list(one)).alias("_p"))
+    head = lambda x: F.when(~x["rest"], F.concat(F.lit("### "), x["k"], F.lit("\n\n"))).when(F.size("_p") > 1, F.lit(f"### {LEFTOVERS}\n\n")).otherwise("")
+    return parts.select(by, F.array_join(F.transform("_p", lambda x: F.concat(head(x), x["b"])), "\n\n").alias("markdown"))
 
 
 def segments(text: Column) -> Column:
@@ -43,11 +51,15 @@ def clock(seconds: Column) -> Column:
     return F.when(h > 0, F.concat(h.cast("string"), F.lit(":"), two(m), F.lit(":"), two(s))).otherwise(F.concat(two(m), F.lit(":"), two(s)))
 
 
-def best_track(tracks: DataFrame, by: str, language: str = "lan", place: str = "place") -> DataFrame:
-    """The subtitles of the best language, the first of equals."""
-    lan = F.lower(F.col(language))
-    score = F.when(lan.isin("zh-cn", "zh-hans", "zh"), 4).when(lan.startswith("zh"), 3).when(lan.startswith("ai-zh"), 2).when(lan.startswith("en"), 1).otherwise(0)
-    return tracks.groupBy(by).agg(F.max_by(language, F.struct(score, -F.col(place))).alias(language))
+# What the code and name of a track's language hold, and its rank.
+TRACKS = ((("zh-cn", "中文", "汉语"), 5), (("zh-hans", "简体"), 4), (("zh",), 3), (("en",), 2))
+
+
+def best_track(tracks: DataFrame, by: str, language: str = "lan", place: str = "place", name: str | None = None) -> DataFrame:
+    """The subtitles of the best language, by its code and name, the first of equals."""
+    said = F.lower(F.concat_ws(" ", F.coalesce(language, F.lit("")), *([F.coalesce(name, F.lit(""))] if name else [])))
+    rank = F.coalesce(*(F.when(said.rlike("|".join(words)), score) for words, score in TRACKS), F.lit(1))
+    return tracks.groupBy(by).agg(F.max_by(language, F.struct(rank, -F.col(place))).alias(language))
 
 
 def interpolated(anchors: DataFrame, by: str, order: str, value: str) -> DataFrame:

@@ -290,10 +290,20 @@ def cue_leftovers(spark, d):
     return transcripts.in_none(cues, transcripts.in_chapters(cues, _chapters(spark, d), "rec", width=10.0), ["rec", "cue", "from"]).select("rec", "cue")
 
 
-@query(f"WITH c AS (SELECT rec, chapter, min(l_linenumber) AS a, '## ' || chapter || chr(10) || chr(10) || string_agg(l_linenumber::VARCHAR, chr(10) ORDER BY l_linenumber) AS b FROM lineitem JOIN {_CH} c ON c.rec = l_orderkey AND l_quantity >= f AND (t IS NULL OR l_quantity < t) GROUP BY 1, 2) SELECT rec, string_agg(b, chr(10) || chr(10) ORDER BY a, chapter) AS markdown FROM c GROUP BY rec")
+_SAID = "'- `00:' || lpad(l_quantity::INT::VARCHAR, 2, '0') || '` ' || l_linenumber::VARCHAR"
+
+
+@query(
+    f"WITH m AS (SELECT rec, l_linenumber AS n, {_SAID} AS c, chapter FROM lineitem JOIN {_CH} c ON c.rec = l_orderkey AND l_quantity >= f AND (t IS NULL OR l_quantity < t)), "
+    f"r AS (SELECT l_orderkey AS rec, l_linenumber AS n, {_SAID} AS c, NULL AS chapter FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM {_CH} c WHERE c.rec = l_orderkey AND l_quantity >= f AND (t IS NULL OR l_quantity < t))), "
+    "g AS (SELECT rec, chapter, min(n) AS a, string_agg(c, chr(10) ORDER BY n, c) AS b FROM (SELECT * FROM m UNION ALL SELECT * FROM r) GROUP BY 1, 2), k AS (SELECT *, count(*) OVER (PARTITION BY rec) AS many FROM g) "
+    "SELECT rec, string_agg(CASE WHEN chapter IS NOT NULL THEN '### ' || chapter || chr(10) || chr(10) WHEN many > 1 THEN '### 其他片段' || chr(10) || chr(10) ELSE '' END || b, chr(10) || chr(10) ORDER BY chapter IS NULL, a, chapter) AS markdown FROM k GROUP BY rec"
+)
 def transcript_markdown(spark, d):
-    q = transcripts.in_chapters(_cues(spark, d), _chapters(spark, d), "rec", width=10.0).withColumn("said", F.col("cue").cast("string"))
-    return transcripts.as_markdown(q, "rec", "chapter", "cue", "said")
+    cues = _cues(spark, d).withColumn("said", F.col("cue").cast("string"))
+    inside = transcripts.in_chapters(cues, _chapters(spark, d), "rec", width=10.0).select("rec", "cue", "from", "said", "chapter")
+    outside = transcripts.in_none(cues, inside, ["rec", "cue", "from"]).withColumn("chapter", F.lit(None).cast("string")).select(inside.columns)
+    return transcripts.as_markdown(inside.unionByName(outside), "rec", "chapter", "cue", "said", "from")
 
 
 @query()
@@ -525,24 +535,29 @@ def total_price(spark, d):
     return table(spark, d, "cbex_lots").dropDuplicates(["lot_id"]).select("lot_id", records.total_price(p["start_price"], [p["deposit"]]).alias("total_price"))
 
 
-@query("SELECT p_partkey, p_partkey % 7 + 2 AS n, p_partkey % 5 + 3 AS points, p_size * 10 + 100 AS amount FROM part")
+@query("SELECT p_partkey, p_partkey % 7 + 3 AS n, p_partkey % 5 AS points, p_size * 10 + 200 AS amount FROM part")
 def fines_summed(spark, d):
-    text = F.concat(F.lit("违章"), (F.col("p_partkey") % 7).cast("string"), F.lit("次，扣"), (F.col("p_partkey") % 5).cast("string"), F.lit("分，罚款"), (F.col("p_size") * 10).cast("string"), F.lit("元。另有2条违章未处理，3分，100元。"))
+    text = F.concat(F.lit("目前可查违章记录：京内"), (F.col("p_partkey") % 7).cast("string"), F.lit(" 起，"), (F.col("p_partkey") % 5).cast("string"), F.lit("分， "), (F.col("p_size") * 10).cast("string"), F.lit("元；京外1起，200元；另2起；"))
     return table(spark, d, "part").select("p_partkey", records.fines(text).alias("f")).select("p_partkey", "f.n", "f.points", "f.amount")
 
 
-@query("SELECT p_partkey, (p_size * 10 + 50)::DOUBLE AS fees FROM part")
+@query("SELECT p_partkey, (p_size * 10 + 20 + 7)::DOUBLE AS fees, 2 AS n FROM part")
 def fees_with_total(spark, d):
-    text = F.concat(F.lit("停车费"), (F.col("p_size") * 10).cast("string"), F.lit("元；停车费20元，拖车费10元，共计50元。"))
-    return table(spark, d, "part").select("p_partkey", records.fee_total(text).alias("fees"))
+    far = F.lit("，由买受人自行承担。" + "其他事项以现场展示为准，" * 20)
+    text = F.concat(F.lit("维修费"), (F.col("p_size") * 10).cast("string"), F.lit("元，停车费20元，共计约"), (F.col("p_size") * 10 + 20).cast("string"), F.lit(" 元（其中5元汇入另一账户）"), far, F.lit("拖车费7元"))
+    return table(spark, d, "part").select("p_partkey", records.fee_total(text).alias("fees"), F.size(records.fee_amounts(text)).alias("n"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '国六' WHEN 1 THEN '国五' WHEN 2 THEN '国四' END AS standard, CASE WHEN p_partkey % 2 = 0 THEN '有' ELSE '无' END AS mortgage FROM part")
+@query(
+    "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '国六' WHEN 1 THEN '国五' WHEN 2 THEN '国四' WHEN 3 THEN '国三' WHEN 4 THEN '国六' ELSE '其他 ' || p_brand END AS standard, "
+    "CASE p_partkey % 3 WHEN 0 THEN '是' WHEN 1 THEN '否' ELSE '未知' END AS mortgage, CASE p_partkey % 2 WHEN 0 THEN '2018-03-' || lpad((p_size % 28 + 1)::VARCHAR, 2, '0') ELSE '' END AS day FROM part"
+)
 def normalisers(spark, d):
     k = F.col("p_partkey")
-    text = F.when(k % 4 == 0, "排放标准为国六").when(k % 4 == 1, "国V").when(k % 4 == 2, "排放：国四").otherwise("排放未知")
-    m = F.when(k % 2 == 0, "该车存在抵押").otherwise("该车无任何抵押")
-    return table(spark, d, "part").select("p_partkey", records.emission_standard(text).alias("standard"), records.mortgage(m).alias("mortgage"))
+    text = F.when(k % 6 == 0, " 国VI").when(k % 6 == 1, "国（Ⅴ）").when(k % 6 == 2, "国4").when(k % 6 == 3, "国三及以上").when(k % 6 == 4, "国Ⅵ").otherwise(F.concat(F.lit("其他 "), "p_brand"))
+    said = F.when(k % 3 == 0, "3、是否抵押：已 抵押（如有）").when(k % 3 == 1, "抵押: 无 ；").otherwise("无此项")
+    day = F.when(k % 2 == 0, F.concat(F.lit("2018年3月"), (F.col("p_size") % 28 + 1).cast("string"), F.lit(" 日"))).otherwise("不详")
+    return table(spark, d, "part").select("p_partkey", records.emission_standard(text).alias("standard"), records.mortgage_in(said).alias("mortgage"), records.normal_day(day).alias("day"))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")

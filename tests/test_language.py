@@ -7,10 +7,13 @@ from paperloom.functions.values import Val
 from paperloom.lang import ParseError, parse, render, show, tokenize, validate
 
 PAGE = {
+    "grid": '[["a","b"],["c"]]', "mail": "Tue, 05 Mar 2024 10:00:00 GMT", "named": "March 5, 2024 10:15 PM",
     "title": "The Great  Page", "words": '["b","a","b"]', "nums": "[3,1,2]", "obj": '{"fooBar":1,"b":"x y"}', "people": '[{"n":"A","t":{"u":"q"}},{"n":"B"}]',
     "empty": "", "one": '["only"]', "html": '<div id="m"><p class="x y">A &amp; <b>b</b></p><p>C</p><a href="/z">L</a></div>', "url": "https://a.example/p", "md": "# H\n\n**b** [l](http://x) `c`",
 }
 CASES = [
+    ('{{low|replace:"/WAR/i":"hi"}}', "hi AND peace OF THE day"), ('{{title|replace:"/(G)(r)/":"$2$1<$&>"}}', "The rG<Gr>eat  Page"), ('{{obj|capitalize}}', '{"Foobar":1,"B":"X y"}'),
+    ('{{nested|blockquote}}', "> a\n> > b\n> > c"), ('{{grid|table}}', "| 0 | 1 |\n| - | - |\n| a | b |\n| c |  |"), ('{{mail|date:"YYYY-MM-DD HH:mm"}}', "2024-03-05 10:00"), ('{{named|date:"YYYY-MM-DD HH:mm"}}', "2024-03-05 22:15"),
     ("plain", "plain"), ("{{title}}", "The Great  Page"), ("{{ title | upper }}!", "THE GREAT  PAGE!"), ("{{missing}}", ""), ("{{one}}", '["only"]'),
     ("{{title|lower|kebab}}", "the-great-page"), ("{{title|snake}}", "the_great_page"), ("{{title|camel}}", "theGreatPage"), ("{{title|pascal}}", "TheGreatPage"),
     ('{{empty ?? "x"}}', "x"), ("{{missing ?? title|upper}}", "THE GREAT  PAGE"), ("{{words|first}}{{words|last}}", "bb"), ("{{words|join}}", "b,a,b"), ('{{words|join:"\\n"}}', "b\na\nb"), ('{{words|join:""}}', "bab"),
