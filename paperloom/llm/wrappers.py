@@ -7,7 +7,10 @@ its wrapper one after the other. Where a container has no partner it becomes
 optional; where a region of text holds several containers of one kind they
 become one repeated group; where texts differ, the place becomes a slot; texts
 that recur stay constants. Partial wrappers of parts of a host are aligned to
-each other in the same way, so a host of any size is spread over all tasks.
+each other in the same way, so a host of any size is spread over all tasks. No
+container is forgotten, however many a host has and however rare one is. Then
+each page is aligned to the whole wrapper, which gives its containers their
+places; pages, blocks and texts of each place are counted, all of them.
 
 The body is the group of slots with most running text a page, with the lists and
 tables in it, the groups in and beside it that hold running text as it does, and
@@ -27,7 +30,7 @@ import hashlib
 import html as _html
 import json
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -38,12 +41,15 @@ from paperloom.llm import residue
 from paperloom.llm.unify import one_form
 from paperloom.session import settle
 
-#: A text is a constant of its place from one page in COMMON on. Counts may fall short by one page
-#: in CONSTANTS (:func:`merge`).
-COMMON, CONSTANTS = 16, 64
-#: A wrapper of more containers than this forgets those on less than 1 % of its pages; on those pages
-#: they are judged by what they hold there.
+#: A text is a constant of its place from one page in COMMON on.
+COMMON = 16
+#: Pages are merged one by one into a wrapper of up to this many containers; a wider one is merged
+#: with its equals only (:func:`gather`). What is held doesn't depend on it.
 WIDE = 400
+#: A task hands on its partial wrappers when they have so many containers together.
+HELD = 300_000
+#: Pages of a host that are taken together with its rule, at least.
+CHUNK = 1000
 #: A place beside the body belongs to it if it has so much of the body's running text a page.
 ALIKE = 0.35
 
@@ -91,6 +97,8 @@ class Box:
     texts: dict = field(default_factory=dict)  # hash: [pages, bytes of running text]
     #: whether one page has several of its kind here
     many: int = 0
+    #: number of the place in the whole wrapper of its host
+    no: int = -1
 
     def pack(self):
         return [self.sig, self.pages, self.stats, self.texts, [k.pack() for k in self.kids], self.many]
@@ -220,32 +228,91 @@ def _likeness(a: Box, b: Box) -> float:
     return 1.0 - total / 4
 
 
-def pairs(a: Sequence[Box], b: Sequence[Box]) -> list[tuple[Box | None, Box | None]]:
-    """The alignment of two rows of containers."""
-    sigs = [k.sig for k in a]
-    if sigs == [k.sig for k in b] and len(set(sigs)) == len(sigs):
-        return list(zip(a, b))
+def _where(row: Sequence[Box]) -> dict[str, list[int]]:
+    """The positions of each kind of container in a row."""
+    where: dict[str, list[int]] = {}
+    for i, k in enumerate(row):
+        where.setdefault(k.sig, []).append(i)
+    return where
+
+
+def matches(a: Sequence[Box], b: Sequence[Box], where: dict[str, list[int]] | None = None) -> list[tuple[int, int]]:
+    """The best alignment of two rows of containers: the positions of those that
+    are partners, in order. ``where`` is that of ``a``."""
+    if len(a) == len(b):
+        sigs = [k.sig for k in a]
+        if sigs == [k.sig for k in b] and len(set(sigs)) == len(sigs):
+            return [(i, i) for i in range(len(a))]
+    where = _where(a) if where is None else where
+    points = [(i, j) for j, k in enumerate(b) for i in where.get(k.sig, ())]
+    return _by_grid(a, b) if 4 * len(points) >= len(a) * len(b) else _by_points(a, b, points)
+
+
+def _by_grid(a: Sequence[Box], b: Sequence[Box]) -> list[tuple[int, int]]:
+    """For rows in which most containers are of one kind."""
     best = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
             best[i][j] = max(best[i + 1][j], best[i][j + 1])
             if a[i].sig == b[j].sig:
                 best[i][j] = max(best[i][j], best[i + 1][j + 1] + 0.5 + _likeness(a[i], b[j]))
-    out: list[tuple[Box | None, Box | None]] = []
+    out: list[tuple[int, int]] = []
     i = j = 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i].sig == b[j].sig and best[i][j] == best[i + 1][j + 1] + 0.5 + _likeness(a[i], b[j]):
-            out.append((a[i], b[j]))
+    while i < len(a) and j < len(b):
+        if a[i].sig == b[j].sig and best[i][j] == best[i + 1][j + 1] + 0.5 + _likeness(a[i], b[j]):
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif j >= len(b) or i < len(a) and best[i][j] == best[i + 1][j]:
-            out.append((a[i], None))
+        elif best[i][j] == best[i + 1][j]:
             i += 1
         else:
-            out.append((None, b[j]))
             j += 1
     return out
 
 
+def _by_points(a: Sequence[Box], b: Sequence[Box], points: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same alignment from the pairs of one kind alone, so that the width of a
+    row counts only by what it has in common with the other."""
+    tree = [0.0] * (len(b) + 1)  # the best after each position of b, as a Fenwick tree from the end
+    top = 0.0
+    after: dict[tuple[int, int], float] = {}  # the best behind a pair
+    valued: dict[float, list[tuple[int, int]]] = {}  # pairs by the best from them on
+    for i, j in sorted(points, key=lambda p: (-p[0], p[1])):
+        rest, k = 0.0, len(b) - 1 - j
+        while k > 0:
+            rest = max(rest, tree[k])
+            k -= k & -k
+        value = rest + 0.5 + _likeness(a[i], b[j])
+        after[i, j] = rest
+        valued.setdefault(value, []).append((i, j))
+        top = max(top, value)
+        k = len(b) - j
+        while k <= len(b):
+            tree[k] = max(tree[k], value)
+            k += k & -k
+    out: list[tuple[int, int]] = []
+    i = j = 0
+    while top:
+        open_ = [p for p in valued[top] if p[0] >= i and p[1] >= j]
+        # of equals, as the grid does: first the next container of b with its first partner, else the last of a
+        x, y = min((p for p in open_ if p[1] == j), default=None) or min(open_, key=lambda p: (-p[0], p[1]))
+        out.append((x, y))
+        top, i, j = after[x, y], x + 1, y + 1
+    return out
+
+
+def pairs(a: Sequence[Box], b: Sequence[Box]) -> list[tuple[Box | None, Box | None]]:
+    """The alignment of two rows of containers, with those that have no partner."""
+    out: list[tuple[Box | None, Box | None]] = []
+    i = j = 0
+    for x, y in [*matches(a, b), (len(a), len(b))]:
+        out += [(k, None) for k in a[i:x]]
+        out += [(None, k) for k in b[j:y]]
+        if x < len(a):
+            out.append((a[x], b[y]))
+        i, j = x + 1, y + 1
+    return out
+
+
 def merge(a: Box, b: Box) -> Box:
     """``a`` generalised to what ``b`` holds too. Changes ``a``."""
     a.kids = [y if x is None else x if y is None else merge(x, y) for x, y in pairs(a.kids, b.kids)]
@@ -255,12 +322,6 @@ def merge(a: Box, b: Box) -> Box:
     for key, (n, size) in b.texts.items():
         own = a.texts.get(key)
         a.texts[key] = [n, size] if own is None else [own[0] + n, own[1] + size]
-    # as in the Misra-Gries summary: all counts fall by that of the first one left out. With
-    # CONSTANTS counters for each text a page has here, by one page in CONSTANTS at most
-    most = CONSTANTS * max(1, -(-a.stats[0] // a.pages))
-    if len(a.texts) > 2 * most:
-        off = sorted((v[0] for v in a.texts.values()), reverse=True)[most]
-        a.texts = {k: [v[0] - off, v[1]] for k, v in a.texts.items() if v[0] > off}
     return a
 
 
@@ -270,17 +331,28 @@ def _boxes(box: Box) -> Iterator[Box]:
         yield from _boxes(k)
 
 
-def narrowed(root: Box) -> Box:
-    if sum(1 for _ in _boxes(root)) > WIDE:
-        least = root.pages // 100
+def gather(stack: list[list], box: Box, n: int) -> None:
+    """Adds a wrapper of ``n`` containers to those of its host, ``[wrapper,
+    containers]``. A wide one waits for one of half its size, so each container
+    is merged some log(containers) times even where every page has its own."""
+    stack.append([box, n])
+    while len(stack) > 1 and stack[-2][1] <= max(WIDE, 2 * stack[-1][1]):
+        _join_last(stack)
 
-        def prune(box: Box) -> None:
-            box.kids = [k for k in box.kids if k.pages > least]
-            for k in box.kids:
-                prune(k)
 
-        prune(root)
-    return root
+def _join_last(stack: list[list]) -> None:
+    box, n = stack.pop()
+    stack[-1][0] = merge(stack[-1][0], box)
+    stack[-1][1] += n
+    if stack[-1][1] > WIDE:
+        stack[-1][1] = sum(1 for _ in _boxes(stack[-1][0]))
+
+
+def joined(stack: list[list]) -> Box:
+    """All of them as one wrapper."""
+    while len(stack) > 1:
+        _join_last(stack)
+    return stack[0][0]
 
 
 def constants(box: Box) -> dict[str, list]:
@@ -296,21 +368,28 @@ def body_score(box: Box, trust: bool = True) -> float:
 
 
 def rule(root: Box) -> str:
-    """What extraction needs of a wrapper: containers with their score, and the
-    constants outside the body."""
-    scores = {id(b): body_score(b) for b in _boxes(root)}
-    plain = {id(b): body_score(b, trust=False) for b in _boxes(root)}
+    """What extraction needs of a wrapper: score and running text of each place, and
+    the constants outside the body."""
+    boxes = list(_boxes(root))
+    scores, plain = ([body_score(b, trust) for b in boxes] for trust in (True, False))
+
+    def usual(of: Sequence[float]) -> float:
+        """What bodies are like on this host: one page in COMMON has a place of this score or more."""
+        n = 0
+        for x, b in sorted(zip(of, boxes), key=lambda p: -p[0]):
+            n += b.pages
+            if COMMON * n >= root.pages:
+                break
+        return x
+
     # where nearly all text recurs, the host has copies of a page, not constants
-    trust = max(scores.values()) >= 0.2 * max(plain.values())
+    trust = usual(scores) >= 0.2 * usual(plain)
     scores = scores if trust else plain
-    top = max(scores.values())
-    outside = sorted({k for b in _boxes(root) if trust and scores[id(b)] < 0.3 * top for k in constants(b)})
-
-    def pack(b: Box):
-        own = b.stats[2] - (sum(v[1] for v in constants(b).values()) if trust else 0)
-        return [b.sig, b.pages, b.stats, round(scores[id(b)], 1), [pack(k) for k in b.kids], round(max(0, own) / b.pages, 1)]
-
-    return json.dumps([root.pages, round(top, 1), outside, pack(root), int(trust and root.pages >= 3)], separators=(",", ":"), ensure_ascii=False)
+    top = usual(scores)
+    outside = sorted({k for b, x in zip(boxes, scores) if trust and x < 0.3 * top for k in constants(b)})
+    own = [max(0, b.stats[2] - (sum(v[1] for v in constants(b).values()) if trust else 0)) / b.pages for b in boxes]
+    places = [[b.no, round(x, 1), round(y, 1)] for b, x, y in zip(boxes, scores, own)]
+    return json.dumps([round(top, 1), outside, int(trust and root.pages >= 3), places], separators=(",", ":"))
 
 
 def expression(root: Box) -> str:
@@ -326,59 +405,80 @@ def expression(root: Box) -> str:
     return write(root, root.pages)
 
 
+def _numbered(text: str) -> Box:
+    root = Box.unpack(json.loads(text))
+    for n, box in enumerate(_boxes(root)):
+        box.no = n
+    return root
+
+
 class Wrapper:
+    """The whole wrapper of a host, ready for its pages to be aligned to it."""
+
+    def __init__(self, text: str):
+        self.root = _numbered(text)
+        for box in _boxes(self.root):
+            box.where = _where(box.kids)
+
+    def places(self, page: Box) -> list[int]:
+        """The place of each container of ``page``, -1 where it has none."""
+        out: list[int] = []
+
+        def walk(place: Box | None, own: Box) -> None:
+            out.append(-1 if place is None else place.no)
+            partners = {} if place is None or not own.kids else {j: place.kids[i] for i, j in matches(place.kids, own.kids, place.where)}
+            for j, k in enumerate(own.kids):
+                walk(partners.get(j), k)
+
+        walk(self.root, page)
+        return out
+
+
+class Rule:
     """The rule of a host, ready to be applied to its pages."""
 
     def __init__(self, text: str):
-        self.pages, self.top, outside, root, self.sure = json.loads(text)
+        self.top, outside, self.sure, places = json.loads(text)
+        self.scores = {n: x for n, x, _ in places}
+        self.own = {n: y for n, _, y in places}
         self.outside = frozenset(outside)
-        self.root = self._unpack(root)
 
-    @staticmethod
-    def _unpack(p) -> Box:
-        box = Box(p[0], [Wrapper._unpack(k) for k in p[4]], [], p[1], p[2])
-        box.score, box.own = p[3], p[5]
-        return box
-
-    def body(self, page: Box) -> list[int]:
-        """The places in ``page`` (a skeleton) that make its body: the place with
-        most running text, the lists and tables in it, and the places in and
-        beside it whose slots hold running text as it does."""
-        found: list[tuple[float, int]] = []
-        places: list[tuple[Box | None, Box, list[int], int]] = []  # rule, page, kids, parent
-
-        def walk(rule_box: Box | None, own: Box, parent: int) -> int:
+    def body(self, page: Box, numbers: Sequence[int]) -> list[int]:
+        """The places in ``page`` (a skeleton, with the number of each place) that
+        make its body: the place with most running text, the lists and tables in
+        it, and the places in and beside it whose slots hold running text as it does."""
+        places: list[tuple[Box, list[int], int]] = []  # page, kids, parent
+
+        def walk(own: Box, parent: int) -> int:
             at = len(places)
-            places.append((rule_box, own, [], parent))
-            found.append((rule_box.score if rule_box is not None else body_score(own, trust=False), at))
-            for x, y in pairs(rule_box.kids, own.kids) if rule_box is not None else ((None, k) for k in own.kids):
-                if y is not None:
-                    places[at][2].append(walk(x, y, at))
+            places.append((own, [], parent))
+            for k in own.kids:
+                places[at][1].append(walk(k, at))
             return at
 
-        walk(self.root, page, -1)
-        score, best = max(found, key=lambda f: (f[0], -f[1]))
+        walk(page, -1)
+        score, best = max(((self.scores[n] if n >= 0 else body_score(places[at][0], trust=False), at) for at, n in enumerate(numbers)), key=lambda f: (f[0], -f[1]))
         if score <= 0 or score < 0.3 * self.top:
             return []
-        own_text = lambda at: places[at][0].own if places[at][0] is not None else float(places[at][1].stats[2])
+        own_text = lambda at: self.own[numbers[at]] if numbers[at] >= 0 else float(places[at][0].stats[2])
         marks: list[int] = []
 
         def goes_on(at: int) -> bool:
-            box = places[at][1]
+            box = places[at][0]
             # on a host of one or two pages, or of copies, nothing is known to be constant
             return self.sure and box.stats[2] > 0 and 10 * box.stats[1] < 3 * box.stats[0] and own_text(at) >= ALIKE * own_text(best)
 
         def take(at: int) -> None:
-            marks.extend(places[at][1].marks)
-            for kid in places[at][2]:
-                box = places[kid][1]
+            marks.extend(places[at][0].marks)
+            for kid in places[at][1]:
+                box = places[kid][0]
                 if box.listed and 2 * box.stats[1] <= box.stats[0] or not box.listed and goes_on(kid):
                     take(kid)
 
         take(best)
-        parent = places[best][3]
-        for kid in places[parent][2] if parent >= 0 else ():
-            if kid != best and not places[kid][1].listed and goes_on(kid):
+        parent = places[best][2]
+        for kid in places[parent][1] if parent >= 0 else ():
+            if kid != best and not places[kid][0].listed and goes_on(kid):
                 take(kid)
         return [*page.heads, *marks]
 
@@ -388,11 +488,11 @@ class Wrapper:
 
 def _bare(box: Box, heads: Sequence[int] = ()):
     """A page's skeleton without texts: what extraction needs."""
-    return [box.sig, box.stats, [leaf.mark for leaf in box.leaves], [_bare(k) for k in box.kids], list(heads)]
+    return [box.sig, box.stats, [leaf.mark for leaf in box.leaves], [_bare(k) for k in box.kids], list(heads), box.many]
 
 
 def _unbare(p) -> Box:
-    box = Box(p[0], [_unbare(k) for k in p[3]], [], 1, p[1])
+    box = Box(p[0], [_unbare(k) for k in p[3]], [], 1, p[1], {}, p[5])
     box.marks, box.heads = p[2], p[4]
     return box
 
@@ -415,7 +515,7 @@ def _all_leaves(box: Box) -> list[Leaf]:
 
 
 def read_pages(pages: DataFrame, model: residue.Model) -> DataFrame:
-    """Each page with markup once parsed: its skeleton, its wrapper of one page
+    """Each page with markup once parsed: its skeleton, the texts of each container
     (where it has its full markup) and, where its headline is missing, what kind
     of text its blocks are."""
     shared = pages.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.least))
@@ -440,60 +540,177 @@ def read_pages(pages: DataFrame, model: residue.Model) -> DataFrame:
                 if not whole:
                     plain = residue._plain(one_form(title or "")) if isinstance(title, str) else ""
                     blocks = json.dumps([[x.mark, x.tag, int(x.leads), running(x), x.href, fingerprint(x.text, site), int(bool(plain) and residue._plain(one_form(x.text)) == plain)] for x in leaves])
-                out.append((page, site, json.dumps(_bare(box, titled[:1]), separators=(",", ":")), json.dumps(box.pack(), separators=(",", ":")) if whole else None, json.dumps(odd) if odd else None, blocks))
-            yield pd.DataFrame(out, columns=["page_id", "site", "bones", "wrapper", "odd", "blocks"])
+                out.append((page, site, json.dumps(_bare(box, titled[:1]), separators=(",", ":")), json.dumps([[[key, size] for key, (_, size) in b.texts.items()] for b in _boxes(box)], separators=(",", ":")) if whole else None, json.dumps(odd) if odd else None, blocks))
+            yield pd.DataFrame(out, columns=["page_id", "site", "bones", "texts", "odd", "blocks"])
 
     return pages.select("page_id", "site", "title", "full_html", "reader_html").mapInPandas(
-        rows, "page_id long, site string, bones string, wrapper string, odd string, blocks string"
+        rows, "page_id long, site string, bones string, texts string, odd string, blocks string"
     )
 
 
-def fold(rows: DataFrame) -> DataFrame:
-    """Partial wrappers of ``site, wrapper``, one for each host and task; a task
-    hands on what it holds whenever it holds many hosts."""
+def _packed(box: Box) -> str:
+    return json.dumps(box.pack(), separators=(",", ":"), ensure_ascii=False)
+
+
+def fold(read: DataFrame) -> DataFrame:
+    """Partial wrappers (``site, wrapper``) of the pages of a task; a task hands on
+    what it holds whenever that is much."""
 
     def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, Box] = {}
+        held: dict[str, list[list]] = {}
+        total = 0
 
         def handed() -> pd.DataFrame:
-            return pd.DataFrame({"site": list(held), "wrapper": [json.dumps(narrowed(w).pack(), separators=(",", ":")) for w in held.values()]}, dtype=object)
+            out = [(site, _packed(box)) for site, stack in held.items() for box, _ in stack]
+            return pd.DataFrame(out, columns=["site", "wrapper"], dtype=object)
 
         for b in batches:
-            for site, text in zip(b["site"], b["wrapper"]):
-                box = Box.unpack(json.loads(text))
-                held[site] = merge(held[site], box) if site in held else box
-            if len(held) > 20_000:
-                yield handed()
-                held.clear()
+            for site, bones in zip(b["site"], b["bones"]):
+                box = _unbare(json.loads(bones))
+                n = sum(1 for _ in _boxes(box))
+                stack = held.setdefault(site, [])
+                total -= sum(x[1] for x in stack)
+                gather(stack, box, n)
+                total += sum(x[1] for x in stack)
+                if total > HELD:
+                    yield handed()
+                    held.clear()
+                    total = 0
         if held:
             yield handed()
 
-    return rows.select("site", "wrapper").mapInPandas(combine, "site string, wrapper string")
+    return read.where(F.col("texts").isNotNull()).select("site", "bones").mapInPandas(combine, "site string, wrapper string")
 
 
 def infer(read: DataFrame) -> DataFrame:
-    """The rule of each host (``site, rule``). Pages are combined where they are
-    read; only partial wrappers, of bounded size, are moved."""
-    partial = fold(read.where(F.col("wrapper").isNotNull()))
-    whole = fold(partial.repartition("site"))
+    """The whole wrapper of each host (``site, wrapper, pages, boxes``), still
+    without its texts. Pages are combined where they are read; only partial
+    wrappers are moved."""
+
+    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        site, stack = None, []
+
+        def whole() -> pd.DataFrame:
+            box = joined(stack)
+            return pd.DataFrame([(site, _packed(box), box.pages, sum(1 for _ in _boxes(box)))], columns=["site", "wrapper", "pages", "boxes"])
+
+        for b in batches:
+            out = []
+            for host, text in zip(b["site"], b["wrapper"]):
+                if host != site:
+                    if stack:
+                        out.append(whole())
+                    site, stack = host, []
+                box = Box.unpack(json.loads(text))
+                gather(stack, box, sum(1 for _ in _boxes(box)))
+            if out:
+                yield pd.concat(out)
+        if stack:
+            yield whole()
+
+    rows = fold(read).repartition("site").sortWithinPartitions("site", "wrapper")
+    return rows.mapInPandas(combine, "site string, wrapper string, pages long, boxes long")
+
+
+def beside(pages: DataFrame, hosts: DataFrame, text: str, make: Callable, each: Callable, schema: str) -> DataFrame:
+    """``each(made, *page)``, a list of rows, for every one of ``pages``; ``made``
+    is ``make`` of the column ``text`` of its host, None where there is no such host.
+
+    A host is written once for a chunk of its pages, not for each page. There is a
+    page in a chunk for every 16 containers of the host at least, so what is
+    written stays in proportion to the pages however wide the wrapper is."""
+    chunks = F.expr(f"cast(ceil(pages / greatest({CHUNK}, boxes / 16)) as int)")
+    columns = [c for c in pages.columns if c != "site"]
+    kinds = dict(pages.dtypes)
+    blank = [(F.lit(0) if c == "page_id" else F.lit(None)).cast(kinds[c]).alias(c) for c in columns]
+    first = hosts.select("site", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.col(text).alias("made"), *blank)
+    # pages of hosts without a wrapper may lie anywhere
+    then = pages.join(hosts.select("site", chunks.alias("chunks")), "site", "left")
+    then = then.select("site", F.expr("pmod(hash(page_id), coalesce(chunks, 1000))").alias("chunk"), F.lit(None).cast("string").alias("made"), *columns)
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        site = made = None
+        for b in batches:
+            out: list[tuple] = []
+            for host, given, *page in zip(b["site"], b["made"], *(b[c] for c in columns)):
+                if not isinstance(given, str):
+                    out += each(made if host == site else None, host, *page)
+                elif host != site:
+                    site, made = host, make(given)
+            yield pd.DataFrame(out, columns=names)
+
+    both = first.unionByName(then).repartition("site", "chunk").sortWithinPartitions("site", "chunk", F.col("made").isNull())
+    return both.select("site", "made", *columns).mapInPandas(rows, schema)
+
+
+def place(read: DataFrame, hosts: DataFrame) -> DataFrame:
+    """The pages with full markup aligned to the whole wrapper of their host:
+    ``numbers``, the place of each container; ``held``, the statistics of those
+    that have one; ``at, keys, sizes``, of each text its place, its key and its
+    bytes of running text."""
+
+    def each(wrapper: Wrapper, site: str, page: int, bones: str, odd: str | None, texts: str) -> list[tuple]:
+        box = _unbare(json.loads(bones))
+        numbers = wrapper.places(box)
+        held = [[n, *b.stats] for n, b in zip(numbers, _boxes(box)) if n >= 0]
+        found = [(n, key, size) for n, own in zip(numbers, json.loads(texts)) if n >= 0 for key, size in own]
+        at, keys, sizes = zip(*found) if found else ((), (), ())
+        return [(page, site, bones, odd, numbers, held, list(at), list(keys), list(sizes))]
+
+    pages = read.where(F.col("texts").isNotNull()).select("page_id", "site", "bones", "odd", "texts")
+    return beside(pages, hosts, "wrapper", Wrapper, each, "page_id long, site string, bones string, odd string, numbers array<int>, held array<array<long>>, at array<int>, keys array<string>, sizes array<long>")
+
+
+def _counted(hosts: DataFrame, placed: DataFrame) -> DataFrame:
+    """The wrappers with ``held``, pages and statistics of each place, and ``fixed``,
+    its constants."""
+    sums = [F.sum(F.col("h")[i]).alias(f"s{i}") for i in range(1, 5)]
+    held = placed.select("site", F.explode("held").alias("h")).groupBy("site", F.col("h")[0].cast("int").alias("at")).agg(F.count("*").alias("pages"), *sums)
+    text = F.arrays_zip("at", "keys", "sizes")
+    texts = placed.select("site", F.explode(text).alias("t")).groupBy("site", "t.at", "t.keys").agg(F.count("*").alias("n"), F.sum("t.sizes").alias("size"))
+    fixed = texts.where("n >= 2").join(held.select("site", "at", "pages"), ["site", "at"]).where(f"n >= pages / {COMMON}")
+    listed = lambda rows, name, *columns: rows.groupBy("site").agg(F.collect_list(F.concat_ws(" ", *columns)).alias(name))
+    return hosts.join(listed(held, "held", "at", "pages", "s1", "s2", "s3", "s4"), "site").join(listed(fixed, "fixed", "at", "keys", "n", "size"), "site", "left")
+
+
+def _filled(wrapper: str, held: Sequence[str], fixed: Sequence[str] | None) -> Box:
+    """A wrapper with what the pages aligned to it have in each place. Where
+    parts of a host were merged in another order there may be places no page has."""
+    root = _numbered(wrapper)
+    boxes = list(_boxes(root))
+    for box in boxes:
+        box.pages = 0
+    for text in held:
+        at, pages, *stats = map(int, text.split(" "))
+        boxes[at].pages, boxes[at].stats = pages, stats
+    for box in boxes:
+        box.kids = [k for k in box.kids if k.pages]
+    for text in () if fixed is None else fixed:
+        at, key, n, size = text.split(" ")
+        boxes[int(at)].texts[key] = [int(n), int(size)]
+    return root
+
 
-    def rules(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def rules(hosts: DataFrame, placed: DataFrame) -> DataFrame:
+    """The rule of each host (``site, rule, pages, boxes``)."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"site": b["site"], "rule": [rule(Box.unpack(json.loads(w))) for w in b["wrapper"]]})
+            yield pd.DataFrame({"site": b["site"], "rule": [rule(_filled(*x)) for x in zip(b["wrapper"], b["held"], b["fixed"])], "pages": b["pages"], "boxes": b["boxes"]})
 
-    return whole.mapInPandas(rules, "site string, rule string")
+    return _counted(hosts, placed).mapInPandas(rows, "site string, rule string, pages long, boxes long")
 
 
 def expressions(read: DataFrame) -> DataFrame:
     """``site, n_pages, expression``: the wrappers to be read by people."""
-    whole = fold(fold(read.where(F.col("wrapper").isNotNull())).repartition("site"))
+    hosts = settle(infer(read), "wrappers")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            boxes = [Box.unpack(json.loads(w)) for w in b["wrapper"]]
-            yield pd.DataFrame({"site": b["site"], "n_pages": [x.pages for x in boxes], "expression": [expression(x) for x in boxes]})
+            yield pd.DataFrame({"site": b["site"], "n_pages": b["pages"], "expression": [expression(_filled(*x)) for x in zip(b["wrapper"], b["held"], b["fixed"])]})
 
-    return whole.mapInPandas(rows, "site string, n_pages long, expression string")
+    return _counted(hosts, settle(place(read, hosts), "places")).mapInPandas(rows, "site string, n_pages long, expression string")
 
 
 def _from_blocks(blocks: list, outside: frozenset) -> list[int]:
@@ -527,33 +744,19 @@ def _stays(marks: Sequence[int], odd: dict) -> bool:
     return good > bad
 
 
-def extract(read: DataFrame, rules: DataFrame) -> DataFrame:
+def extract(read: DataFrame, placed: DataFrame, known: DataFrame) -> DataFrame:
     """``page_id, block_no`` of the body of each page."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, Wrapper] = {}
-        for b in batches:
-            out = []
-            for page, bones, odd, blocks, text in zip(b["page_id"], b["bones"], b["odd"], b["blocks"], b["rule"]):
-                wrapper = None
-                if isinstance(text, str):
-                    wrapper = known.get(text)
-                    if wrapper is None:
-                        if len(known) > 500:
-                            known.clear()
-                        wrapper = known[text] = Wrapper(text)
-                if isinstance(blocks, str):
-                    marks = _from_blocks(json.loads(blocks), wrapper.outside if wrapper else frozenset())
-                elif wrapper is not None:
-                    marks = wrapper.body(_unbare(json.loads(bones)))
-                else:
-                    marks = []
-                if marks and _stays(marks, json.loads(odd) if isinstance(odd, str) else {}):
-                    out += [(page, m) for m in dict.fromkeys(marks)]
-            yield pd.DataFrame(out, columns=["page_id", "block_no"])
+    def each(host: Rule | None, site: str, page: int, bones: str, odd: str | None, numbers, blocks: str | None) -> list[tuple]:
+        if isinstance(blocks, str):
+            marks = _from_blocks(json.loads(blocks), host.outside if host else frozenset())
+        else:
+            marks = host.body(_unbare(json.loads(bones)), numbers.tolist())
+        return [(page, m) for m in dict.fromkeys(marks)] if marks and _stays(marks, json.loads(odd) if isinstance(odd, str) else {}) else []
 
-    joined = read.select("page_id", "site", "bones", "odd", "blocks").join(rules, "site", "left")
-    return joined.select("page_id", "bones", "odd", "blocks", "rule").mapInPandas(rows, "page_id long, block_no long")
+    full = placed.select("page_id", "site", "bones", "odd", "numbers", F.lit(None).cast("string").alias("blocks"))
+    bare = read.where(F.col("blocks").isNotNull()).select("page_id", "site", F.lit(None).cast("string").alias("bones"), "odd", F.lit(None).cast("array<int>").alias("numbers"), "blocks")
+    return beside(full.unionByName(bare), known, "rule", Rule, each, "page_id long, block_no long")
 
 
 def main_body(pages: DataFrame, model: residue.Model) -> DataFrame:
@@ -561,5 +764,6 @@ def main_body(pages: DataFrame, model: residue.Model) -> DataFrame:
     (``page_id, site, title, full_html, reader_html``). Pages are parsed once;
     what is kept of them is a fraction of their markup."""
     read = settle(read_pages(pages, model), "pages")
-    rules = settle(infer(read), "wrappers")
-    return extract(read, rules)
+    hosts = settle(infer(read), "wrappers")
+    placed = settle(place(read, hosts), "places")
+    return extract(read, placed, settle(rules(hosts, placed), "rules"))

@@ -124,3 +124,76 @@ def test_expression_has_repeated_and_optional_groups():
 def test_long_texts_are_told_by_all_of_them():
     a, b = ("x" * 120 + mid + "y" * 120 for mid in ("kite", "mast"))
     assert w.fingerprint(a, "a.test") != w.fingerprint(b, "a.test")
+
+
+WORDS = "harbour rope tar deck mast sail oar keel stern bow hull anchor".split()
+
+
+def said(i, n=14):
+    return " ".join(WORDS[(i * k * k + k + i // 12) % 12] for k in range(1, n)) + f" {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}."
+
+
+def test_rare_containers_of_wide_hosts_are_kept(spark, model):
+    """Over 400 containers, and a notice on 1 % of the pages."""
+    notice = "This notice stands on three pages of the host alone, word by word the same, and is as long as what they say themselves."
+    pages = []
+    for i in range(300):
+        own = f'<div id="poll-{i}"><p data-b="20"><a href="/q/{i}">Vote {i}</a></p></div><div id="ad-{i}"><p data-b="21"><a href="/r/{i}">Buy {i}</a></p></div>'
+        beside = f'<div class="notice"><p data-b="30">{notice}</p></div>' if i % 100 == 7 else ""
+        pages.append((f'<body><div class="text"><h1 data-b="1">Title {i}</h1><p data-b="2">{said(i)}</p></div>{beside}{own}</body>', f"Title {i}"))
+    got = extracted(spark, model, pages)
+    assert len(got) == 300 and set(map(frozenset, got.values())) == {frozenset({1, 2})}
+    read = w.read_pages(rows(spark, [(i, "a.test", title, html, None, "", 0) for i, (html, title) in enumerate(pages)]), model)
+    host = w.infer(read).collect()
+    assert len(host) == 1 and host[0].pages == 300 and host[0].boxes == 2 + 1 + 1 + 600
+    text = w.expressions(read).collect()[0].expression
+    assert all(f"<div[id=poll-{i}]>" in text for i in range(300)) and "(<div[class=notice]>(#CONST)*</>)?" in text
+
+
+def test_a_container_of_one_page_says_nothing_of_the_others(spark, model):
+    pages = [(f'<body><article id="post-{i}"><h1 data-b="1">Title {i}</h1><p data-b="2">{said(i, 400 if i == 5 else 14)}</p></article><div class="foot"><p data-b="9"><a href="/">Home</a></p></div></body>', f"Title {i}") for i in range(40)]
+    got = extracted(spark, model, pages)
+    assert len(got) == 40 and set(map(frozenset, got.values())) == {frozenset({1, 2})}
+
+
+def test_texts_are_counted_exactly():
+    box = w.Box("x")
+    box.texts = {}
+    for i in range(1000):
+        one = w.Box("x")
+        one.stats = [2, 0, 0, 0]
+        one.texts = {f"u{i}": [1, 40], "same" if i % 16 == 0 else f"v{i}": [1, 40]}
+        box = w.merge(box, one)
+    assert box.texts["same"] == [63, 63 * 40] and "same" in w.constants(box) and len(w.constants(box)) == 1
+
+
+def test_wide_wrappers_are_gathered_whole():
+    stack: list = []
+    for i in range(5000):
+        w.gather(stack, w.Box("page", [w.Box("nav"), w.Box(f"div[id={i}]"), w.Box("foot")]), 4)
+        assert len(stack) < 20
+    root = w.joined(stack)
+    assert root.pages == 5000 and len(root.kids) == 5002
+    assert {k.sig: k.pages for k in root.kids if k.pages > 1} == {"nav": 5000, "foot": 5000}
+
+
+def test_both_ways_to_align_rows_agree():
+    for n in range(200):
+        a, b = ([w.Box("abcdefgh"[(n * m + i * i * (m + 2)) % (1 + n % 8)], stats=[i % 3, 0, 40 * (i * m % 2), 0]) for i in range(n * m % 17)] for m in (5, 7))
+        points = [(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if x.sig == y.sig]
+        assert w._by_points(a, b, points) == w._by_grid(a, b)
+
+
+def test_places_hold_what_is_aligned_to_them(spark, model):
+    """Two layouts, met in one order in some tasks and in the other in the rest."""
+    row = lambda kind, i: f'<tr><td class="{kind}"><h1 data-b="1">Title {i}</h1><p data-b="2">{said(i, 40)}</p></td></tr>'
+    pages = [(f"<body><table><tr><th><p data-b=9>Home</p></th></tr>{row('ab'[(i + i // 4) % 2], i)}</table></body>", f"Title {i}") for i in range(32)]
+    read = w.settle(w.read_pages(rows(spark, [(i, "a.test", title, html, None, "", 0) for i, (html, title) in enumerate(pages)]), model), "t")
+    hosts = w.settle(w.infer(read), "t")
+    host = w._counted(hosts, w.settle(w.place(read, hosts), "t")).collect()[0]
+    found: dict = {}
+    for b in w._boxes(w._filled(host.wrapper, host.held, host.fixed)):
+        assert b.pages > 0
+        found[b.sig] = found.get(b.sig, 0) + b.pages
+    assert found["td[class=a]"] == found["td[class=b]"] == 16 and found["page"] == 32
+    assert set(map(frozenset, extracted(spark, model, pages).values())) == {frozenset({1, 2})}
